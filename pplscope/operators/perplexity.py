@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from pplscope.bounded import local_copy
+from pplscope.bounded import local_copy, small_side
 from pplscope.functions.arrays import perplexity
 from pplscope.operators.columns import logprob_columns, nonblank_response
 
@@ -140,7 +140,7 @@ def gamma(ppl: DataFrame, accuracy: DataFrame, models: list[str] | None = None)
 def gamma_by_rank(ppl: DataFrame, sums: DataFrame) -> DataFrame:
     """The same score for any number of models: twice the sum of rank × sign sum."""
     counted = sums.withColumn("n_models", F.count(F.lit(1)).over(W.partitionBy()))
-    rated = ppl.join(counted, "model", "left").withColumn("ppl", F.when(F.col("sign_sum").isNotNull(), F.col("ppl")))
+    rated = ppl.join(small_side(counted), "model", "left").withColumn("ppl", F.when(F.col("sign_sum").isNotNull(), F.col("ppl")))
     return average_rank(rated).groupBy(*KEYS).agg(
         F.when(F.count("ppl") == F.max("n_models"), 2.0 * F.sum(F.col("ppl_rank") * F.col("sign_sum"))).alias("gamma")
     )

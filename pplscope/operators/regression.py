@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from pplscope.bounded import small_side
 from pplscope.operators.perplexity import common_models, ppl_wide
@@ -274,7 +274,7 @@ def violating_features(features: DataFrame, fits: pd.DataFrame, alphas: np.ndarr
         kept = [(f, best[f], *r) for f, r in enumerate(rows) if r is not None]
         yield pd.DataFrame(kept, columns=["fit", "ratio", *KEYS, "values"])
 
-    schema = StructType().add("fit", "int").add("ratio", "double")
+    schema = StructType().add("fit", IntegerType()).add("ratio", DoubleType())
     for field in features.select(*KEYS, "values").schema.fields:
         schema = schema.add(field)
     found = features.select(*KEYS, "values").mapInPandas(look, schema)
@@ -332,7 +332,7 @@ def lasso_loo(
     final = refits.loc[(ALL, chosen[ALL])]
     nonzero = [(*keys[int(u)], float(b)) for u, b in zip(final["used"], final["beta"])]
     key_types = features.select(*KEYS).schema
-    coefficient_schema = StructType([*key_types.fields]).add("beta", "double")
+    coefficient_schema = StructType([*key_types.fields]).add("beta", DoubleType())
     return LassoFit(
         spark.createDataFrame(predicted, "model string, label double, prediction double"),
         float(grid[chosen[ALL]]),

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from pplscope.bounded import pinned, small_side
 from pplscope.functions.vectors import dot, norm
@@ -33,7 +34,7 @@ def embed_texts(
             columns.append(pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32())))
             yield pa.RecordBatch.from_arrays(columns, [*keys, "embedding"])
 
-    schema = df.select(*keys).schema.add("embedding", "array<float>")
+    schema = df.select(*keys).schema.add("embedding", ArrayType(FloatType()))
     return df.select(*keys, text_col).mapInArrow(encode, schema)
 
 

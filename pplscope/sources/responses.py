@@ -21,16 +21,19 @@ def na_to_null(col: Column) -> Column:
 
 def tag_by_model(df: DataFrame, file_to_model: dict[str, str] | None = None, suffix: str = ".csv") -> DataFrame:
     """Add `model` from the file a row was read from: the mapped name (rows of unmapped files are
-    left out), or the file name without `suffix`.
+    left out), or the file name without `suffix`. For a folder of part files the folder's name
+    counts.
 
     One read of all files and a literal map; there is no loop over files. Must directly follow
     the read, where the file name is still known.
     """
-    file_name = F.col("_metadata.file_name")
+    path = F.split("_metadata.file_path", "/")
+    folder, own = F.try_element_at(path, F.lit(-2)), F.col("_metadata.file_name")
+    name = F.when(own.startswith("part-") & folder.endswith(suffix), folder).otherwise(own)
     if file_to_model is None:
-        return df.select("*", strip_suffix_everywhere(file_name, suffix).alias("model"))
+        return df.select("*", strip_suffix_everywhere(name, suffix).alias("model"))
     pairs = [F.lit(x) for item in file_to_model.items() for x in item]
-    model = F.try_element_at(F.create_map(*pairs), file_name)
+    model = F.try_element_at(F.create_map(*pairs), name)
     return df.select("*", model.alias("model")).where(F.col("model").isNotNull())
 
 
