@@ -98,7 +98,7 @@ def model_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @check(f"""WITH {V.RESPONSES} SELECT model, count(*) AS n, count(*) FILTER (WHERE {V.strip('model_response')} <> '') AS n_usable,
-    sum(length(model_response)) AS n_chars, sum(CAST(is_correct AS INTEGER)) AS n_correct FROM responses GROUP BY model""")
+    CAST(sum(length(model_response)) AS BIGINT) AS n_chars, CAST(sum(CAST(is_correct AS INTEGER)) AS BIGINT) AS n_correct FROM responses GROUP BY model""")
 def responses_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch.new_path(spark, "responses")
     rows = V.responses(spark, d)

@@ -85,18 +85,20 @@ def document_windows(
     if not ctx >= stride > 0:
         raise ValueError("need ctx >= stride > 0")
     n = F.size(tokens_col)
+
+    def window(cur):
+        beg = F.greatest(F.lit(0), cur - (ctx - stride))
+        end = F.least(n, cur + stride)
+        return F.struct(
+            cur.alias("cur"), beg.alias("beg"), end.alias("end"), n.alias("n_tokens"),
+            F.slice(tokens_col, beg + 1, end - beg).alias("window_tokens"),
+        )
+
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)))
-    spans = df.select(
-        F.col(id_col), F.col(tokens_col), n.alias("n_tokens"), F.posexplode(starts).alias("window_id", "cur")
-    )
-    placed = spans.withColumns(
-        {
-            "beg": F.greatest(F.lit(0), F.col("cur") - (ctx - stride)),
-            "end": F.least(F.col("n_tokens"), F.col("cur") + stride),
-        }
+    # Cut before exploding, so that an exploded row carries its window and not the document.
+    return df.select(id_col, F.posexplode(F.transform(starts, window)).alias("window_id", "w")).select(
+        id_col, "window_id", "w.*"
     )
-    window = F.slice(tokens_col, F.col("beg") + 1, F.col("end") - F.col("beg"))
-    return placed.select(id_col, "window_id", "cur", "beg", "end", "n_tokens", window.alias("window_tokens"))
 
 
 def stitch_windows(df: DataFrame, mode: str = "fresh", id_col: str = "doc_id") -> DataFrame:

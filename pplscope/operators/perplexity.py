@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pplscope.bounded import local_copy, small_side
 from pplscope.functions.arrays import perplexity
-from pplscope.operators.columns import logprob_columns, nonblank_response
+from pplscope.functions.text import strip
+from pplscope.operators.columns import logprob_columns
 
 KEYS = ["text_id", "chunk_id"]
 # Up to this many models the score is one generated expression over a row of perplexities.
@@ -51,11 +52,9 @@ def ppl_wide(ppl: DataFrame, models: list[str]) -> DataFrame:
 def model_accuracy(responses: DataFrame) -> DataFrame:
     """Mean correctness of each model's non-blank responses; null when it has none (or no
     correctness column)."""
-    usable = nonblank_response(responses)
-    if "is_correct" not in responses.columns:
-        usable = usable.withColumn("is_correct", F.lit(None).cast("boolean"))
-    scored = usable.groupBy("model").agg(F.avg(F.col("is_correct").cast("int")).alias("accuracy"))
-    return responses.select("model").distinct().join(scored, "model", "left")
+    correct = F.col("is_correct") if "is_correct" in responses.columns else F.lit(None)
+    usable = F.when(strip(F.col("model_response")) != "", correct.cast("boolean").cast("int"))
+    return responses.groupBy("model").agg(F.avg(usable).alias("accuracy"))
 
 
 def common_models(ppl: DataFrame, accuracy: DataFrame) -> DataFrame:

@@ -157,21 +157,26 @@ def bigram_table(train: DataFrame, scored: DataFrame, models: list[str], k: floa
     """Log-probs of each distinct word pair of `scored` (`a, b, uses, lp_0, lp_1…`), one column
     per model trained on that model's rows of `train` (`model, text`).
 
-    Counting combines before it shuffles, so frequent pairs cost one row per task; the joins
-    are between distinct pairs and words, not occurrences. Both tables are written once,
-    because the lookups read them more than once.
+    Training and scored pairs are counted in one aggregate that combines before it shuffles, so
+    a frequent pair costs one row per task; the join is between distinct pairs and words, not
+    occurrences. Both tables are written once, because they are read more than once.
     """
     size = range(len(models))
-    trained = bigram_rows(train, ["model"], "text").where(F.col("a").isNotNull())
-    counts = trained.groupBy("a", "b").agg(*[F.count_if(F.col("model") == m).alias(f"c_{j}") for j, m in zip(size, models)])
-    used = scored.where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses"))
-    pairs = materialize(used.join(counts, ["a", "b"], "full"), "bigrams")
+    occurrences = bigram_rows(train, ["model"], "text").select("a", "b", "model").unionByName(
+        scored.select("a", "b", F.lit(None).cast("string").alias("model"))
+    )
+    counts = [F.count_if(F.col("model") == m).alias(f"c_{j}") for j, m in zip(size, models)]
+    pairs = materialize(
+        occurrences.where(F.col("a").isNotNull()).groupBy("a", "b")
+        .agg(F.count_if(F.col("model").isNull()).alias("uses"), *counts),
+        "bigrams",
+    )
     starts = pairs.groupBy("a").agg(
-        *[F.coalesce(F.sum(f"c_{j}"), F.lit(0)).alias(f"n_{j}") for j in size], F.count(F.lit(1)).alias("followers")
+        *[F.sum(f"c_{j}").alias(f"n_{j}") for j in size], F.count_if(F.col("uses") > 0).alias("followers")
     )
     full = lookup_with_hot_keys(pairs.where("uses > 0"), starts, ["a"], "followers", spread=F.col("b"))
     logprob = [
-        F.ln((F.coalesce(f"c_{j}", F.lit(0)) + F.lit(k)) / (F.col(f"n_{j}") + F.lit(k * vocab))).alias(f"lp_{j}")
+        F.ln((F.col(f"c_{j}") + F.lit(k)) / (F.col(f"n_{j}") + F.lit(k * vocab))).alias(f"lp_{j}")
         for j in size
     ]
     return materialize(full.select("a", "b", "uses", *logprob), "bigram-logprobs")

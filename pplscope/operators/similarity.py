@@ -85,7 +85,8 @@ def compare_sets(
 
     `embeddings` carries `text_id, chunk_id, embedding`; only the 2n selected rows are joined.
     """
-    members = selected_and_control(gamma, n, seed, side)
-    vectors = embeddings.join(small_side(members.select("set", *S.KEYS)), S.KEYS)
+    members = pinned(selected_and_control(gamma, n, seed, side))
+    # The 2n vectors are read once; both passes of the histogram work on this copy.
+    vectors = pinned(embeddings.join(small_side(members.select("set", *S.KEYS)), S.KEYS))
     keyed = vectors.withColumn("key", F.struct(*S.KEYS))
     return density_histogram(pairwise_cosine(keyed, "key", by="set"), "cosine", bins, by="set")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pplscope.bounded import lookup_with_hot_keys
 from pplscope.functions.text import url_file_name
 
 
@@ -23,19 +24,16 @@ def manifest_from_json(df: DataFrame, json_col: str = "value") -> DataFrame:
 def download_status(manifest: DataFrame, existing: DataFrame, order: str = "position") -> DataFrame:
     """Every listed URL with `status`: `present` when a file of its name exists, `pending` for
     the first listing of any other name, `repeated` for its later listings."""
-    # One row per name before any join, so that a name listed very often is combined first.
-    first = manifest.groupBy("filename").agg(F.min(order).alias("_first"))
+    # One row per name before any join; a name listed very often is then looked up as a hot key.
+    first = manifest.groupBy("filename").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
     have = existing.select("filename").distinct().withColumn("_have", F.lit(True))
     names = first.join(have, "filename", "left")
-    pending_at = names.where(F.col("_have").isNull()).select(F.col("_first").alias(order), F.lit(True).alias("_pending"))
-    present = names.where("_have").select("filename", "_have")
     status = (
-        F.when(F.col("_have"), F.lit("present")).when(F.col("_pending"), F.lit("pending")).otherwise(F.lit("repeated"))
-    )
-    return (
-        manifest.join(present, "filename", "left").join(pending_at, order, "left")
-        .withColumn("status", status).select(*manifest.columns, "status")
+        F.when(F.col("_have"), F.lit("present")).when(F.col(order) == F.col("_first"), F.lit("pending"))
+        .otherwise(F.lit("repeated"))
     )
+    found = lookup_with_hot_keys(manifest, names, ["filename"], "_n", spread=F.col(order))
+    return found.withColumn("status", status).select(*manifest.columns, "status")
 
 
 def pending_downloads(manifest: DataFrame, existing: DataFrame, order: str = "position") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from pplscope.bounded import small_side
 from pplscope.operators.chunking import chunk_documents
 from pplscope.operators.identity import SCAN_ORDER, dedup_keep_first
 from pplscope.operators.scoring import Scorer, score_chunks
@@ -54,8 +55,11 @@ def incremental_scoring(
         first = dedup_keep_first(batch, "id", SCAN_ORDER)
         seen = _table(session, f"{out_dir}/ids", f"id {id_type}, batch long")
         if seen is not None:
-            earlier = seen.where(F.col("batch") < number).select(F.col("id").alias("_id"))
-            first = first.join(earlier, F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+            # The batch's ids go to the history, not the history to the batch.
+            arrived = small_side(first.select(F.col("id").alias("_id")))
+            known = seen.where(F.col("batch") < number).join(arrived, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+            again = small_side(known.select(F.col("id").alias("_id")))
+            first = first.join(again, F.col("id").eqNullSafe(F.col("_id")), "left_anti")
         chunks = chunk_documents(first, chunk_size, chunk_overlap)
         score_chunks(chunks, make_scorer).write.mode("overwrite").parquet(f"{out_dir}/results/batch={number}")
         first.select("id").write.mode("overwrite").parquet(f"{out_dir}/ids/batch={number}")
