@@ -57,6 +57,7 @@ def test_path_agrees_with_coordinate_descent(seed):
     rng = np.random.default_rng(seed)
     x, y = rng.lognormal(size=(5, 12)), rng.uniform(0.3, 0.7, 5)
     x[:, 3] = x[:, 4]
+    x /= x.std(0)
     c, t = x - x.mean(0), y - y.mean()
 
     def loss(w, alpha):
@@ -65,8 +66,10 @@ def test_path_agrees_with_coordinate_descent(seed):
     grid = np.sort(ALPHAS)[::-1]
     for alpha, w in zip(grid, R.path_coefficients(x, y, grid)):
         reference = plain_lasso(x, y, alpha)
-        # Cyclic descent is slow to settle, so the exact path may only be better, and not by much.
-        assert loss(reference, alpha) * 0.95 <= loss(w, alpha) <= loss(reference, alpha) + 1e-14
+        assert loss(w, alpha) <= loss(reference, alpha) + 1e-14
+        # At smaller alphas cyclic descent takes too long to settle to be compared closely.
+        if alpha > 0.05:
+            assert c @ w == pytest.approx(c @ reference, abs=1e-6)
 
 
 def test_path_is_optimal_with_many_features():

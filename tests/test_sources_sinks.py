@@ -144,3 +144,21 @@ def test_scratch_tables_live_in_the_shared_folder(spark):
     table = scratch.materialize(spark.range(3), "t")
     assert table.count() == 3
     assert scratch.app_dir(spark).startswith(scratch.shared_dir(spark))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pplscope.__main__ import main
+
+    spark.createDataFrame([(1, "One two. Three four. Five."), (2, "Alpha beta.")], "id long, text string").write.parquet(f"{tmp_path}/d")
+    main(["chunk", "--input", f"{tmp_path}/d", "--output", f"{tmp_path}/c", "--chunk-size", "10", "--chunk-overlap", "0"])
+    scorer = "pplscope.operators.scoring:WordLengthScorer"
+    main(["score", "--dataset", f"{tmp_path}/c/chunked_texts", "--output", f"{tmp_path}/s", "--scorer", scorer])
+    main(["inspect", "--parquet", f"{tmp_path}/s"])
+    main(["score-folder", "--data-dir", f"{tmp_path}/d", "--output", f"{tmp_path}/w", "--scorer", scorer, "--max-context", "4", "--stride", "2"])
+    main(["stream", "--input", f"{tmp_path}/d", "--output", f"{tmp_path}/st", "--checkpoint", f"{tmp_path}/cp", "--scorer", scorer])
+    (tmp_path / "list.json").write_text('["http://h/a.bin", "http://h/b.bin"]')
+    (tmp_path / "have.txt").write_text("a.bin\n")
+    main(["pending", "--manifest", f"{tmp_path}/list.json", "--existing", f"{tmp_path}/have.txt", "--output", f"{tmp_path}/p"])
+    assert [r.filename for r in spark.read.json(f"{tmp_path}/p").collect()] == ["b.bin"]
+    assert spark.read.parquet(f"{tmp_path}/w").count() == 2
+    assert "4 chunks" in capsys.readouterr().out
