@@ -22,11 +22,6 @@ BREAK = "\ufdd1"
 GUARD_PATTERN = rf"(^|[ ({KEEP}])(\p{{Lu}}|{'|'.join(ABBREVIATIONS)})\. "
 BREAK_PATTERN = r"""([.!?]["')\]]*) +(["'(\[]?\p{Lu})"""
 
-PIECE = "struct<prev:string,base:string>"
-# Finished pieces are moved out of the list the fold appends to once it has this many, so that
-# very long documents do not copy their whole result at every append.
-FOLD_BLOCK = 256
-
 
 def strip(col: Column) -> Column:
     """Python's `str.strip()`."""
@@ -48,50 +43,28 @@ def split_sentences(col: Column) -> Column:
     return F.array_remove(F.split(F.translate(marked, KEEP, " "), BREAK), "")
 
 
-def fold_sentences(sentences: Column, chunk_size: int) -> Column:
-    """Greedy packing as `array<struct<prev, base>>`: each chunk next to the one before it.
+def pack_sentences(sentences: Column, chunk_size: int = 500) -> Column:
+    """Greedy packing: a sentence joins the open chunk when it still fits with one space between;
+    otherwise it opens the next chunk, however long it is.
 
-    A sentence joins the open chunk when it still fits with one space between; otherwise it
-    opens the next chunk, however long it is.
+    Joined by a one-character mark that stands for that space, the chunks are what one pattern
+    matches: the longest run of at most `chunk_size` characters that ends at a mark, else one
+    whole sentence. The time is linear in the text, for books too.
     """
+    joined = F.array_join(F.array_remove(sentences, ""), BREAK)
+    chunk = rf"(?s)\G(.{{1,{chunk_size}}}(?={BREAK}|\z)|[^{BREAK}]+){BREAK}?"
+    chunks = F.regexp_extract_all(joined, F.lit(chunk), F.lit(1))
+    # Back to spaces in one step for all chunks, over a second mark between them.
+    return F.array_remove(F.split(F.translate(F.array_join(chunks, KEEP), BREAK, " "), KEEP), "")
 
-    def state(done: Column, recent: Column, prev: Column, cur: Column, length: Column) -> Column:
-        return F.struct(
-            done.alias("done"), recent.alias("recent"), prev.alias("prev"),
-            cur.alias("cur"), length.alias("length"),
-        )
-
-    def piece(acc: Column) -> Column:
-        return F.struct(acc["prev"].alias("prev"), acc["cur"].alias("base"))
-
-    def add(acc: Column, s: Column) -> Column:
-        is_open = acc["length"] > 0
-        grown = acc["length"] + F.length(s) + 1
-        full = F.size(acc["recent"]) >= FOLD_BLOCK
-        return (
-            F.when(is_open & (grown <= chunk_size),
-                   state(acc["done"], acc["recent"], acc["prev"], F.concat(acc["cur"], F.lit(" "), s), grown))
-            .when(~is_open, state(acc["done"], acc["recent"], acc["prev"], s, F.length(s)))
-            .when(full,
-                  state(F.concat(acc["done"], F.array(acc["recent"])), F.array(piece(acc)),
-                        acc["cur"], s, F.length(s)))
-            .otherwise(state(acc["done"], F.concat(acc["recent"], F.array(piece(acc))), acc["cur"], s, F.length(s)))
-        )
-
-    def finish(acc: Column) -> Column:
-        last = F.when(acc["length"] > 0, F.array(piece(acc))).otherwise(F.array().cast(f"array<{PIECE}>"))
-        return F.concat(F.flatten(acc["done"]), acc["recent"], last)
-
-    start = state(
-        F.array().cast(f"array<array<{PIECE}>>"), F.array().cast(f"array<{PIECE}>"),
-        F.lit(None).cast("string"), F.lit(""), F.lit(0),
-    )
-    return F.aggregate(sentences, start, add, finish)
 
+def with_previous(items: Column) -> Column:
+    """`array<struct<prev, base>>`: each item next to the one before it (null before the first).
 
-def pack_sentences(sentences: Column, chunk_size: int = 500) -> Column:
-    """Greedy packing as `array<string>`."""
-    return fold_sentences(sentences, chunk_size)["base"]
+    Refers to `items` more than once: pass a column, not a costly expression.
+    """
+    prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), items), F.lit(1), F.size(items))
+    return F.arrays_zip(prev.alias("prev"), items.alias("base"))
 
 
 def overlap_tail(text: Column, min_len: int) -> Column:
@@ -121,30 +94,25 @@ def recursive_pieces(text: Column, chunk_size: int = 500, separators: tuple[str,
     joined again up to `chunk_size`, stripped, and dropped when blank; a piece still too long
     after the last separator is kept as it is.
     """
-    strings = "array<string>"
-
-    def joined(done: Column, cur: Column) -> Column:
-        return F.when(strip(cur) != "", F.concat(done, F.array(strip(cur)))).otherwise(done)
+    none = F.array().cast("array<string>")
 
     def level(part: Column, rest: tuple[str, ...]) -> Column:
-        pieces = F.array_remove(
-            F.split(F.replace(part, F.lit(rest[0]), F.lit(BREAK + rest[0])), BREAK), ""
-        )
-
-        def add(acc: Column, p: Column) -> Column:
-            deeper = level(p, rest[1:]) if len(rest) > 1 else F.array(p)
-
-            def step(done: Column, cur: Column) -> Column:
-                return F.struct(done.alias("done"), cur.alias("cur"))
-
+        separator, deeper = rest[0], rest[1:]
+        # The mark takes the place of the separator's first character, so lengths stay true.
+        marked = F.replace(part, F.lit(separator), F.lit(BREAK + separator[1:]))
+        # From one piece start to another: a piece that is too long, or the longest run that fits.
+        run = rf"(?s)\G(.[^{BREAK}]{{{chunk_size - 1},}}|.{{1,{chunk_size}}}(?={BREAK}|\z))"
+
+        def finish(found: Column) -> Column:
+            one_piece = ~F.contains(F.substring(found, 2, 2**31 - 1), F.lit(BREAK))
+            whole = F.translate(found, BREAK, separator[0])
+            longer = level(whole, deeper) if deeper else F.array(whole)
             return (
-                F.when(F.length(p) >= chunk_size, step(F.concat(joined(acc["done"], acc["cur"]), deeper), F.lit("")))
-                .when(F.length(acc["cur"]) + F.length(p) <= chunk_size, step(acc["done"], F.concat(acc["cur"], p)))
-                .otherwise(step(joined(acc["done"], acc["cur"]), p))
+                F.when((F.length(found) >= chunk_size) & one_piece, longer)
+                .when(strip(whole) != "", F.array(strip(whole))).otherwise(none)
             )
 
-        start = F.struct(F.array().cast(strings).alias("done"), F.lit("").alias("cur"))
-        return F.aggregate(pieces, start, add, lambda acc: joined(acc["done"], acc["cur"]))
+        return F.flatten(F.transform(F.regexp_extract_all(marked, F.lit(run), F.lit(1)), finish))
 
     return level(text, separators)
 

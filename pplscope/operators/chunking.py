@@ -17,10 +17,8 @@ def chunk_documents(
     """
     require_columns(df, [id_col, text_col])
     sentences = T.split_sentences(T.clean_text(F.col(text_col)))
-    pieces = df.select(
-        F.col(id_col).alias("text_id"),
-        F.posexplode(T.fold_sentences(sentences, chunk_size)).alias("chunk_id", "piece"),
-    )
+    packed = df.select(F.col(id_col).alias("text_id"), T.pack_sentences(sentences, chunk_size).alias("bases"))
+    pieces = packed.select("text_id", F.posexplode(T.with_previous(F.col("bases"))).alias("chunk_id", "piece"))
     overlapped = pieces.select(
         "text_id", "chunk_id", F.col("piece.base").alias("base"),
         T.chunk_overlap_text(F.col("piece.prev"), chunk_overlap).alias("overlap"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from urllib.parse import urlparse
 
 import pytest
@@ -76,14 +77,25 @@ def test_packing_fixtures(spark):
 def test_packing_matches_brute_force(spark):
     rng = random.Random(3)
     cases = [["é" * rng.randrange(1, 30) for _ in range(rng.randrange(0, 40))] for _ in range(200)]
-    # Long enough to move several blocks of finished chunks.
-    cases.append(["w" * 9] * (3 * T.FOLD_BLOCK * 2 + 5))
+    cases.append(["😀" * 9] * 1500)
     assert apply(spark, cases, lambda c: T.pack_sentences(c, 20), "array<string>") == [fold(c, 20) for c in cases]
 
 
 def test_each_chunk_knows_the_one_before(spark):
-    pieces = apply(spark, [["abc"] * 600], lambda c: T.fold_sentences(c, 7), "array<string>")[0]
-    assert [p.prev for p in pieces] == [None] + [p.base for p in pieces[:-1]]
+    got = apply(spark, [["a", "b", "c"], ["x"], []], T.with_previous, "array<string>")
+    assert [[tuple(p) for p in row] for row in got] == [[(None, "a"), ("a", "b"), ("b", "c")], [(None, "x")], []]
+
+
+def test_long_documents_take_linear_time(spark):
+    """A document of several megabytes in one row."""
+    text = "The quick fox jumps over it. Another sentence follows here!\n" * 60_000
+    df = spark.createDataFrame([(text,)], "text string")
+    packed = T.pack_sentences(T.split_sentences(T.clean_text(F.col("text"))))
+    pieces = T.recursive_pieces(F.col("text"))
+    started = time.time()
+    row = df.select(F.size(packed).alias("a"), F.size(pieces).alias("b")).first()
+    assert row.a >= len(text) / 500 and row.b >= len(text) / 500
+    assert time.time() - started < 60
 
 
 def tail_by_words(text, n):
