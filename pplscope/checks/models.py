@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
+from pplscope.bounded import pinned, small_side
 from pplscope.checks import views as V
 from pplscope.checks.registry import check
 from pplscope.functions import arrays as A
@@ -223,8 +224,8 @@ TOP_ONLY = f"SELECT 'top' AS \"set\", text_id, chunk_id FROM gamma ORDER BY {BES
 
 
 def _top_vectors(spark: SparkSession, d: str) -> DataFrame:
-    top = S.top_gamma(V.scores(spark, d), 100)
-    return V.embeddings(spark, d).join(F.broadcast(top.select(*BY_KEY)), BY_KEY)
+    top = small_side(S.top_gamma(V.scores(spark, d), 100).select(*BY_KEY))
+    return pinned(V.embeddings(spark, d).join(top, BY_KEY))
 
 
 @check(f"WITH {V.GAMMA}, {_sql_pairs(TOP_ONLY)} SELECT id_i, id_j, round(cosine, 6) AS cosine FROM pairs")

@@ -33,29 +33,37 @@ def clean_text(col: Column) -> Column:
     return strip(F.translate(col, "\n\r", "  "))
 
 
-def split_sentences(col: Column) -> Column:
-    """Sentences of a cleaned text: a break follows end punctuation and precedes a capital,
-    unless the punctuation belongs to an initial or an abbreviation. Empty text: no sentence."""
+def mark_sentences(col: Column) -> Column:
+    """A cleaned text with BREAK in place of the blanks between sentences: a break follows end
+    punctuation and precedes a capital, unless the punctuation belongs to an initial or an
+    abbreviation."""
     guard = rf"$1$2.{KEEP}"
     # Twice, because a match takes the space that the next initial has to be preceded by.
     guarded = F.regexp_replace(F.regexp_replace(col, GUARD_PATTERN, guard), GUARD_PATTERN, guard)
-    marked = F.regexp_replace(guarded, BREAK_PATTERN, rf"$1{BREAK}$2")
-    return F.array_remove(F.split(F.translate(marked, KEEP, " "), BREAK), "")
+    return F.translate(F.regexp_replace(guarded, BREAK_PATTERN, rf"$1{BREAK}$2"), KEEP, " ")
 
 
-def pack_sentences(sentences: Column, chunk_size: int = 500) -> Column:
+def split_sentences(col: Column) -> Column:
+    """Sentences of a cleaned text; an empty text has none."""
+    return F.array_remove(F.split(mark_sentences(col), BREAK), "")
+
+
+def pack_marked(marked: Column, chunk_size: int = 500) -> Column:
     """Greedy packing: a sentence joins the open chunk when it still fits with one space between;
     otherwise it opens the next chunk, however long it is.
 
-    Joined by a one-character mark that stands for that space, the chunks are what one pattern
-    matches: the longest run of at most `chunk_size` characters that ends at a mark, else one
-    whole sentence. The time is linear in the text, for books too.
+    As the one-character mark stands for that space, the chunks are what one pattern matches: the
+    longest run of at most `chunk_size` characters that ends at a mark, else one whole sentence.
+    The time is linear in the text, for books too.
     """
-    joined = F.array_join(F.array_remove(sentences, ""), BREAK)
     chunk = rf"(?s)\G(.{{1,{chunk_size}}}(?={BREAK}|\z)|[^{BREAK}]+){BREAK}?"
-    chunks = F.regexp_extract_all(joined, F.lit(chunk), F.lit(1))
-    # Back to spaces in one step for all chunks, over a second mark between them.
-    return F.array_remove(F.split(F.translate(F.array_join(chunks, KEEP), BREAK, " "), KEEP), "")
+    chunks = F.regexp_extract_all(marked, F.lit(chunk), F.lit(1))
+    return F.transform(chunks, lambda c: F.translate(c, BREAK, " "))
+
+
+def pack_sentences(sentences: Column, chunk_size: int = 500) -> Column:
+    """`pack_marked` of sentences that are an array already."""
+    return pack_marked(F.array_join(F.array_remove(sentences, ""), BREAK), chunk_size)
 
 
 def with_previous(items: Column) -> Column:
