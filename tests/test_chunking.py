@@ -85,6 +85,14 @@ def test_windows(spark, n, ctx, stride, spans):
     assert all(r.window_tokens == [str(i) for i in range(r.beg, r.end)] for r in rows)
 
 
+def test_exploded_windows_do_not_carry_the_document(spark, small):
+    tokens = docs(spark, small).select(F.col("id").alias("doc_id"), F.split("text", " ").alias("tokens"))
+    plan = C.document_windows(tokens, 6, 3)._jdf.queryExecution().executedPlan().toString()
+    explode = next(line for line in plan.split("\n") if "Generate posexplode" in line)
+    kept = explode.rsplit("), [", 1)[1].split("]")[0]
+    assert kept.startswith("doc_id#") and "," not in kept
+
+
 def test_windows_need_room_for_the_stride(spark):
     df = spark.createDataFrame([(1, ["a"])], "doc_id long, tokens array<string>")
     for ctx, stride in ((-1, 2), (2, 4), (4, 0)):
