@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pplscope.llm import bpe
+from pplscope.llm import bpe, pii
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -31,3 +31,26 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+def _span_text(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+@query()
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts of the base kinds, digest of their spans, all spans."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    names = [k.name for k in pii.KINDS if k.base]
+    base = F.filter("spans", lambda s: s.kind.isin(names))
+
+    def count(name):
+        return F.size(F.filter("spans", lambda s: s.kind == name)).cast("long").alias(f"n_{name}")
+
+    return found.select(
+        "doc_id",
+        *[count(name) for name in names],
+        F.sha2(_span_text(base), 256).alias("base_sha256"),
+        _span_text(F.col("spans")).alias("spans"),
+        F.transform("spans", lambda s: s.score).alias("scores"),
+    )
