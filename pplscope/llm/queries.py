@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pplscope.llm import bpe, pii
+from pplscope import scratch
+from pplscope.llm import bpe, dac, hashtree, pii, syncmers
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -54,3 +55,28 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         _span_text(F.col("spans")).alias("spans"),
         F.transform("spans", lambda s: s.score).alias("scores"),
     )
+
+
+@query()
+def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over 40 shards of a hash tree, and where they go with a 41st."""
+    placed = hashtree.assign(table(spark, sf_dir, "documents"), hashtree.layout(40), hashtree.layout(41, founded=40))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query()
+def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they and the next text's are."""
+    compared = syncmers.compare_edits(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+@query()
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text written in directly addressable codes, and each document read back."""
+    path = scratch.new_path(spark, "tokens")
+    dac.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return dac.read_documents(spark, path)
