@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, hashtree, pii, syncmers
+from pplscope.llm import bpe, dac, hashtree, pii, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -80,3 +80,15 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "tokens")
     dac.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return dac.read_documents(spark, path)
+
+
+@query()
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a conditional random field, with the offending offsets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), F.col("_toxicity.score").alias("score"),
+        (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.spans").alias("spans"),
+    )
