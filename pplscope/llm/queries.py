@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, hashtree, pii, syncmers, toxicity
+from pplscope.llm import bpe, dac, hashtree, pii, rlz, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -92,3 +92,30 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), F.col("_toxicity.score").alias("score"),
         (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"), F.col("_toxicity.spans").alias("spans"),
     )
+
+
+@query("""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), places AS (
+    SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM words WHERE len(w) >= 35
+), hashed AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM places
+), again AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM hashed) WHERE n > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM again
+), each_word AS (
+    SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM words
+), rest AS (
+    SELECT e.doc_id, count(*) AS n_left, string_agg(word, ' ' ORDER BY e.i) AS left_text
+    FROM each_word e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.i = c.i WHERE c.i IS NULL GROUP BY e.doc_id
+)
+SELECT a.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_left, 0))::BIGINT AS n_removed,
+    sha256(coalesce(left_text, '')) AS kept_sha256
+FROM words a LEFT JOIN rest b ON a.doc_id = b.doc_id
+""")
+def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside every passage of 35 words that the collection has again."""
+    cut = rlz.dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
