@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, hashtree, pii, rlz, syncmers, toxicity
+from pplscope.llm import bpe, dac, hashtree, pii, rlz, suffixes, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -119,3 +119,27 @@ def op5_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside every passage of 35 words that the collection has again."""
     cut = rlz.dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), places AS (
+    SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM words WHERE len(w) >= 50
+), hashed AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM places
+), again AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM hashed) WHERE n > 1
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM again
+), runs AS (
+    SELECT doc_id, min(i) - 1 AS a, count(*) AS n
+    FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM covered) GROUP BY doc_id, g
+)
+SELECT doc_id, sum(n)::BIGINT AS n_repeated, string_agg(a || ':' || n, ',' ORDER BY a) AS passages FROM runs GROUP BY doc_id
+""")
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words that the collection has again: these, as start:words in words."""
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    shown = F.transform("passages", lambda p: F.concat_ws(":", p.start.cast("string"), p.words.cast("string")))
+    return found.select("doc_id", "n_repeated", F.array_join(shown, ",").alias("passages"))
