@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, hashtree, pii, rlz, suffixes, syncmers, toxicity
+from pplscope.llm import bpe, dac, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -143,3 +143,9 @@ def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
     shown = F.transform("passages", lambda p: F.concat_ws(":", p.start.cast("string"), p.words.cast("string")))
     return found.select("doc_id", "n_repeated", F.array_join(shown, ",").alias("passages"))
+
+
+@query()
+def op4_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies."""
+    return probminhash.classify(table(spark, sf_dir, "documents"))
