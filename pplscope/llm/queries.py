@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
+from pplscope.llm import bpe, dac, decontam, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -149,3 +149,10 @@ def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies."""
     return probminhash.classify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, one row per document and item."""
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "overlap", "answer")
