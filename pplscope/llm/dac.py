@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,10 @@ CHUNK_BITS = 8
 BLOCK_TOKENS = 1 << 18
 MAGIC = b"DAC1"
 STORE = "part int, block int, start long, n_docs int, n_tokens long, payload binary"
-CACHED_CHUNKS, CACHED_WORDS, LONG_CHUNK = 250_000, 250_000, 64
+SLICE_BYTES = 2 << 20
+# Memory of a worker, whatever the input: what falls out goes to the library again.
+CACHED_CHUNKS, CACHED_WORDS, LONG_CHUNK = 350_000, 350_000, 64
+LONE_MARKS = frozenset(",.")
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -133,39 +137,57 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[str, bytes] = {}
-        self.chunks: list[dict[str, bytes]] = [{}, {}]
+        self.chunks, self.words = Recent(CACHED_CHUNKS), Recent(CACHED_WORDS)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32).tobytes() for x in found]
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        recent, older = self.chunks
-        wanted = set().union(*cut) if cut else set()
-        missing = [c for c in wanted if c not in recent and c not in older]
-        self._learn(missing, known := {})
-        for c in wanted:
-            if c not in known:
-                known[c] = recent[c] if c in recent else older[c]
-        if len(recent) >= CACHED_CHUNKS:
-            recent, older = {}, recent
-        recent.update((c, v) for c, v in known.items() if len(c) <= LONG_CHUNK)
-        self.chunks = [recent, older]
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in cut]
-
-    def _learn(self, missing: list[str], known: dict[str, bytes]) -> None:
-        split = {c: (c[:-1], c[-1]) if c[-1:] in (",", ".") and c[:-1].isalpha() else (c, "") for c in missing}
-        parts = {p for pair in split.values() for p in pair if p}
-        new = [p for p in parts if p not in self.words]
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = list(parts)
-        self.words.update(zip(new, self._library(new), strict=True))
-        for chunk, (word, mark) in split.items():
-            known[chunk] = (self.words[word] if word else b"") + (self.words[mark] if mark else b"")
+        missing = self.chunks.missing(set().union(*cut))
+        split, whole = [], []
+        for chunk in missing:
+            word = chunk[:-1]
+            if chunk[-1:] in LONE_MARKS and word.isalpha():
+                split.append((chunk, word, chunk[-1]))
+            else:
+                whole.append(chunk)
+        parts = set(whole)
+        parts.update(w for _, w, _ in split)
+        parts.update(m for _, _, m in split)
+        fresh = self.words.missing(parts)
+        known, words = self.chunks.new, self.words.new
+        words.update(zip(fresh, self._encoded(fresh), strict=True))
+        known.update((c, words[c]) for c in whole)
+        known.update((c, words[w] + words[m]) for c, w, m in split)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in cut]
+        self.words.rotate()
+        self.chunks.rotate()
+        return out
+
+
+class Recent:
+    """What was met lately, in two generations; long keys are kept for one call only."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old, self.long = size, {}, {}, []
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys not known; all others are in `new` from now on."""
+        lacking = keys.difference(self.new)
+        found = [k for k in lacking if k in self.old]
+        self.new.update((k, self.old[k]) for k in found)
+        lacking.difference_update(found)
+        self.long += [k for k in lacking if len(k) > LONG_CHUNK]
+        return list(lacking)
+
+    def rotate(self) -> None:
+        for key in self.long:
+            self.new.pop(key, None)
+        self.long = []
+        if len(self.new) >= self.size:
+            self.new, self.old = {}, self.new
 
 
 @lru_cache(maxsize=2)
@@ -194,7 +216,7 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, i
                 "payload": pa.array([pack(ids, lists)], pa.binary()),
             })
 
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", SLICE_BYTES):
             part = piece.column("part")[0].as_py()
             for doc_id, tokens in zip(piece.column("doc_id").to_pylist(), library.encode(piece.column("text").to_pylist()), strict=True):
                 ids.append(doc_id)
