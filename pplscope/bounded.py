@@ -11,10 +11,14 @@ MAX_BYTES = 64 * 1024 * 1024
 def local_copy(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame | None:
     """`df` as a driver-built local table, or None when it is over either bound.
 
-    At most `max_rows + 1` rows ever reach the driver.
+    Rows and bytes (as JSON) are added up on the executors first; only a table within both is collected.
     """
+    size = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    if rows > max_rows or held > max_bytes:
+        return None
     probe = df.limit(max_rows + 1).toArrow()
-    if probe.num_rows > max_rows or probe.nbytes > max_bytes:
+    if probe.num_rows > max_rows or probe.nbytes > 2 * max_bytes:
         return None
     return df.sparkSession.createDataFrame(probe, schema=df.schema)
 

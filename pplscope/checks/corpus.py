@@ -86,7 +86,7 @@ def chunk_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("lang") == "en", F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
-    return V.table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("id"), text.alias("text"))
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
 
 
 def _sql_level(part: str, separators: list[str], depth: int = 0) -> str:

@@ -20,7 +20,7 @@ def table(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """id, text."""
-    return table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("id"), "text")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def repeated_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """model, model_response, is_correct: labelled documents dealt out to six models."""
-    docs = table(spark, d, "documents", spread=True)
+    docs = table(spark, d, "documents")
     response = F.when(F.col("toxic") == 1, F.lit(None)).when(F.col("lang") == "es", F.lit("  ")).otherwise(F.col("text"))
     return docs.join(table(spark, d, "labels"), "doc_id").select(
         model_of("doc_id").alias("model"), response.alias("model_response"),

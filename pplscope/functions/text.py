@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The characters Python's str.strip() removes.
@@ -15,9 +17,11 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 # Abbreviations that do not end a sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Dr", "St", "Jr", "Sr", "Gen", "vs", "No")
 
-# Two Unicode noncharacters (reserved for internal use, never part of interchanged text).
+# Two marks for work inside an expression, from the Unicode noncharacters. A text may hold them all
+# the same: there others that it does not hold stand in for them (`free_of_marks`).
 KEEP = "\ufdd0"
 BREAK = "\ufdd1"
+STAND_INS = [chr(c) for c in range(0xFDD2, 0xFDF0)] + [chr(p << 16 | c) for p in range(1, 17) for c in (0xFFFE, 0xFFFF)]
 
 GUARD_PATTERN = rf"(^|[ ({KEEP}])(\p{{Lu}}|{'|'.join(ABBREVIATIONS)})\. "
 BREAK_PATTERN = r"""([.!?]["')\]]*) +(["'(\[]?\p{Lu})"""
@@ -43,9 +47,28 @@ def mark_sentences(col: Column) -> Column:
     return F.translate(F.regexp_replace(guarded, BREAK_PATTERN, rf"$1{BREAK}$2"), KEEP, " ")
 
 
+def _stand_ins(text: Column) -> Column:
+    """Two noncharacters, in place of KEEP and BREAK, that the text does not hold."""
+    spare = F.slice(F.array_except(F.array(*map(F.lit, STAND_INS)), F.split(text, "")), F.lit(1), F.lit(2))
+    return F.array_join(F.when(F.size(spare) == 2, spare).otherwise(F.raise_error(F.lit("a text holds every noncharacter"))), "")
+
+
+def _swap(text: Column, old: Column, new: Column) -> Column:
+    return F.call_function("translate", text, old, new)
+
+
+def free_of_marks(text: Column, work: Callable[[Column], Column]) -> Column:
+    """`work(text)`, an array of strings, with the text's own mark characters kept: each is replaced,
+    one for one, by a noncharacter the text does not hold, and put back in the pieces. A text with all
+    but one of these is refused. Refers to `text` more than once: pass a column."""
+    marks, stand = F.lit(KEEP + BREAK), _stand_ins(text)
+    back = F.transform(work(_swap(text, marks, stand)), lambda c: _swap(c, stand, marks))
+    return F.when(text.rlike(f"[{KEEP}{BREAK}]"), back).otherwise(work(text))
+
+
 def split_sentences(col: Column) -> Column:
     """Sentences of a cleaned text; an empty text has none."""
-    return F.array_remove(F.split(mark_sentences(col), BREAK), "")
+    return free_of_marks(col, lambda t: F.array_remove(F.split(mark_sentences(t), BREAK), ""))
 
 
 def pack_marked(marked: Column, chunk_size: int = 500) -> Column:
@@ -61,9 +84,22 @@ def pack_marked(marked: Column, chunk_size: int = 500) -> Column:
     return F.transform(chunks, lambda c: F.translate(c, BREAK, " "))
 
 
+def pack_text(clean: Column, chunk_size: int = 500) -> Column:
+    """Chunks of a cleaned text: its sentences, packed. Pass a column."""
+    return free_of_marks(clean, lambda t: pack_marked(mark_sentences(t), chunk_size))
+
+
 def pack_sentences(sentences: Column, chunk_size: int = 500) -> Column:
-    """`pack_marked` of sentences that are an array already."""
-    return pack_marked(F.array_join(F.array_remove(sentences, ""), BREAK), chunk_size)
+    """`pack_marked` of sentences that are an array already. Pass a column."""
+    whole, marks = F.array_join(sentences, ""), F.lit(KEEP + BREAK)
+    stand = _stand_ins(whole)
+
+    def packed(items: Column) -> Column:
+        return pack_marked(F.array_join(F.array_remove(items, ""), BREAK), chunk_size)
+
+    hidden = F.transform(sentences, lambda s: _swap(s, marks, stand))
+    back = F.transform(packed(hidden), lambda c: _swap(c, stand, marks))
+    return F.when(whole.rlike(f"[{KEEP}{BREAK}]"), back).otherwise(packed(sentences))
 
 
 def with_previous(items: Column) -> Column:
@@ -122,7 +158,7 @@ def recursive_pieces(text: Column, chunk_size: int = 500, separators: tuple[str,
 
         return F.flatten(F.transform(F.regexp_extract_all(marked, F.lit(run), F.lit(1)), finish))
 
-    return level(text, separators)
+    return free_of_marks(text, lambda t: level(t, separators))
 
 
 def words(text: Column) -> Column:

@@ -16,8 +16,8 @@ def chunk_documents(
     Row-local from the scan on: no shuffle, and one evaluation of the packing per document.
     """
     require_columns(df, [id_col, text_col])
-    marked = T.mark_sentences(T.clean_text(F.col(text_col)))
-    packed = df.select(F.col(id_col).alias("text_id"), T.pack_marked(marked, chunk_size).alias("bases"))
+    cleaned = df.select(F.col(id_col).alias("text_id"), T.clean_text(F.col(text_col)).alias("_clean"))
+    packed = cleaned.select("text_id", T.pack_text(F.col("_clean"), chunk_size).alias("bases"))
     pieces = packed.select("text_id", F.posexplode(T.with_previous(F.col("bases"))).alias("chunk_id", "piece"))
     overlapped = pieces.select(
         "text_id", "chunk_id", F.col("piece.base").alias("base"),

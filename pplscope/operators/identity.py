@@ -7,17 +7,13 @@ import operator
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from pplscope.bounded import local_copy, small_side
+from pplscope.bounded import local_copy
 from pplscope.scratch import materialize
 
 Order = list[str | Column]
 
 SCAN_ORDER = ["_file", "_row"]
-SCAN_BLOCK = 1 << 17
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return functools.reduce(operator.and_, [left[k].eqNullSafe(right[k]) for k in keys])
+SCAN_BLOCK = 1 << 14
 
 
 def dedup_keep_first(
@@ -85,30 +81,21 @@ def dense_index(df: DataFrame, order: Order, name: str = "index", start: int = 0
 def scan_index(df: DataFrame, keep: Column, name: str = "doc_id", block: int = SCAN_BLOCK) -> DataFrame:
     """Rows where `keep` holds, numbered 0, 1, 2… in scan order (`_file`, then `_row`).
 
-    A row's number is its row index, less the dropped rows before it in its block of the file,
-    plus the kept rows of all earlier blocks. The block table has one row per `block` scanned
-    rows; while it fits the broadcast bounds the numbered rows are not shuffled at all.
+    Kept rows are counted per block of a file and the counts added up: within a file over its blocks,
+    then over files, of which there is one narrow row each. A row's number is its place in its block
+    plus those sums. Time is linear in the rows; what meets in one task is a block, or the blocks of
+    one file.
     """
-    blocked = df.withColumn("_block", F.expr(f"_row div {block}"))
-    kept = F.coalesce(keep, F.lit(False))
-    by_scan = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        blocked.groupBy("_file", "_block")
-        .agg(
-            F.count_if(kept).alias("_n"),
-            F.sort_array(F.collect_list(F.when(~kept, F.col("_row")))).alias("_dropped"),
-        )
-        .select("_file", "_block", "_dropped", F.coalesce(F.sum("_n").over(by_scan), F.lit(0)).alias("_before"))
-    )
-    copy = local_copy(blocks)
-    if copy is not None:
-        earlier = F.size(F.filter("_dropped", lambda r: r < F.col("_row")))
-        place = F.col("_row") - F.col("_block") * block - earlier
-        numbered = blocked.where(kept).join(F.broadcast(copy), ["_file", "_block"])
-    else:
-        place = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_row")) - 1
-        numbered = blocked.where(kept).join(blocks.drop("_dropped"), ["_file", "_block"])
-    return numbered.withColumn(name, (F.col("_before") + place).cast("long")).select(name, *df.columns)
+    kept = df.where(F.coalesce(keep, F.lit(False))).withColumn("_block", F.expr(f"_row div {block}"))
+    counts = kept.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    files = counts.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    files_before = F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1))
+    files = files.select("_file", F.coalesce(files_before, F.lit(0)).alias("_files_before"))
+    blocks = counts.withColumn("_blocks_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").join(files, "_file")
+    place = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_row")) - 1
+    number = (F.col("_files_before") + F.col("_blocks_before") + place).cast("long")
+    return kept.join(blocks, ["_file", "_block"]).withColumn(name, number).select(name, *df.columns)
 
 
 def head_n(df: DataFrame, n: int, order: Order) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
-from pplscope.bounded import local_copy, small_side
+from pplscope.bounded import small_side
 from pplscope.functions.arrays import perplexity
 from pplscope.functions.text import strip
 from pplscope.operators.columns import logprob_columns
 
 KEYS = ["text_id", "chunk_id"]
-# Up to this many models the score is one generated expression over a row of perplexities.
-WIDE_MODELS = 32
 
 
 def chunk_perplexity(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -94,52 +92,28 @@ def _models_and_sums(ppl: DataFrame, accuracy: DataFrame, models: list[str] | No
     return accuracy_sign_sums(shared.select("model", "accuracy"))
 
 
-def _wide_score(signs: dict[str, int]) -> Column:
-    """The score from one column per model.
-
-    Summing sign(y_k - y_l)(rank_k - rank_l) over ordered pairs equals summing
-    (s_k - s_l) sign(x_k - x_l) over unordered pairs of columns, where s are the sign sums:
-    average ranks are themselves sums of such signs.
-    """
-    names = sorted(signs)
-    terms = [
-        F.signum(F.col(f"`{a}`") - F.col(f"`{b}`")) * float(signs[a] - signs[b])
-        for i, a in enumerate(names) for b in names[i + 1:] if signs[a] != signs[b]
-    ]
-    complete = None
-    for n in names:
-        here = F.col(f"`{n}`").isNotNull()
-        complete = here if complete is None else complete & here
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + t
-    return F.when(complete, total)
-
-
 def gamma(ppl: DataFrame, accuracy: DataFrame, models: list[str] | None = None) -> DataFrame:
     """`text_id, chunk_id, gamma`: over ordered pairs of models, the sum of
     sign(accuracy difference) × (perplexity rank difference); null when a model is missing.
 
-    Give `models` when the perplexity table's models are known, to save the pass that lists
-    them. The sign sums (one row per model) are read by the driver behind a bound; with few
-    models each chunk is one row of a combining aggregate and the score is row-local, otherwise
-    ranks come from a window on the same chunk keys.
+    One formula for any number of models: twice the sum of rank × sign sum. Ranks compare
+    perplexities, so infinite ones rank (and tie) like others; NaN is missing. Of repeated rows of a
+    chunk and model the largest perplexity counts. With no common model the sum is empty, 0.0.
+
+    Give `models` when the perplexity table's models are known, to save the pass that lists them.
     """
     sums = _models_and_sums(ppl, accuracy, models)
-    few = local_copy(sums, max_rows=WIDE_MODELS)
-    if few is not None:
-        signs = {r.model: r.sign_sum for r in few.collect()}
-        if not signs:
-            return ppl.select(*KEYS).distinct().withColumn("gamma", F.lit(0.0))
-        wide = ppl_wide(ppl, sorted(signs))
-        return wide.select(*KEYS, _wide_score(signs).alias("gamma"))
     return gamma_by_rank(ppl, sums)
 
 
 def gamma_by_rank(ppl: DataFrame, sums: DataFrame) -> DataFrame:
-    """The same score for any number of models: twice the sum of rank × sign sum."""
-    counted = sums.withColumn("n_models", F.count(F.lit(1)).over(W.partitionBy()))
-    rated = ppl.join(small_side(counted), "model", "left").withColumn("ppl", F.when(F.col("sign_sum").isNotNull(), F.col("ppl")))
-    return average_rank(rated).groupBy(*KEYS).agg(
-        F.when(F.count("ppl") == F.max("n_models"), 2.0 * F.sum(F.col("ppl_rank") * F.col("sign_sum"))).alias("gamma")
+    """`gamma` from sign sums, one row per model. One shuffle on the chunk keys serves the merge of
+    repeated rows, the ranks and the sum."""
+    n_models = sums.count()
+    value = F.when(F.col("sign_sum").isNotNull() & ~F.isnan("ppl"), F.col("ppl"))
+    rated = ppl.join(small_side(sums), "model", "left").select(*KEYS, "model", "sign_sum", value.alias("ppl"))
+    one = rated.repartition(*KEYS).groupBy(*KEYS, "model").agg(F.max("ppl").alias("ppl"), F.first("sign_sum").alias("sign_sum"))
+    total = 2.0 * F.sum(F.col("ppl_rank") * F.col("sign_sum"))
+    return average_rank(one).groupBy(*KEYS).agg(
+        F.when(F.count("ppl") == n_models, F.coalesce(total, F.lit(0.0))).alias("gamma")
     )

@@ -110,15 +110,19 @@ def score_documents(
     mode: str = "fresh",
     id_col: str = "doc_id",
     text_col: str = "text",
+    partitions: int | None = None,
 ) -> DataFrame:
     """`doc_id, prompt_logprobs, decoded_tokens` of whole documents, scored window by window.
 
-    Windows of one document are separate rows, so a very long document is scored by many tasks.
+    Windows are dealt out before they are scored, `partitions` ways (by default as any shuffle), so a
+    very long document is scored by many tasks.
     """
     tokens = df.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("tokens"))
     windows = document_windows(tokens, ctx, stride)
     keys = ["doc_id", "window_id", "cur", "beg", "n_tokens"]
     texts = windows.select(*keys, F.array_join("window_tokens", " ").alias("prompt"))
+    dealt = [partitions] if partitions else []
+    texts = texts.repartition(*dealt, "doc_id", "window_id")
     raw = score_raw(texts, make_scorer, keys, "prompt")
     # One entry per window token, in place: stitching needs the positions of the unscored ones.
     entries = F.transform("raw", lambda x: F.when(x.isNotNull(), F.get(F.map_values(x), F.lit(0))))

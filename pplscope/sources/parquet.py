@@ -6,37 +6,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from pplscope.operators.columns import nonempty_prompt
 from pplscope.operators.identity import scan_index
 
-# Below this much data per core Spark cannot give every core a split of its own.
-SMALL_PER_CORE = 4 * 1024 * 1024
-
-
-def _is_small(spark: SparkSession, path: str) -> bool:
-    """Whether all files at `path` (a name or glob) are too little to occupy every core."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    limit = SMALL_PER_CORE * spark.sparkContext.defaultParallelism
-    total = 0
-    for status in fs.globStatus(jvm_path) or []:
-        total += fs.getContentSummary(status.getPath()).getLength()
-        if total >= limit:
-            return False
-    return True
-
-
 def scan_parquet(
     spark: SparkSession,
     path: str,
     with_order: bool = False,
     schema: StructType | str | None = None,
-    spread: bool = False,
 ) -> DataFrame:
     """Parquet table at `path`; columns and filters are pushed down by whoever uses it.
 
-    `with_order` adds `_file, _row`, each row's place in the scan. `spread` deals rows of a small
-    input out to all cores (a large one already has a split per core and is left alone).
+    `with_order` adds `_file, _row`, each row's place in the scan.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.parquet(path)
@@ -44,8 +24,6 @@ def scan_parquet(
         df = df.select(
             "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
         )
-    if spread and _is_small(spark, path):
-        df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -58,15 +36,10 @@ def scan_glob(
         return scan_parquet(spark, path, with_order=with_order, **options)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise FileNotFoundError(f"no Parquet files matching {pattern} under {data_dir}") from error
+            raise FileNotFoundError(f"{data_dir} holds nothing that fits {pattern}") from error
         raise
 
 
 def stream_prompts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`doc_id` and text of the non-empty prompts of an ordered scan, numbered in scan order."""
     return scan_index(df, keep=F.col(text_col) != "", name="doc_id").select("doc_id", text_col)
-
-
-def unnumbered_prompts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same prompts without numbers: a pure filter."""
-    return nonempty_prompt(df, text_col)

@@ -37,11 +37,40 @@ def tag_by_model(df: DataFrame, file_to_model: dict[str, str] | None = None, suf
     return df.select("*", model.alias("model")).where(F.col("model").isNotNull())
 
 
+def _files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The CSV files at the paths: names, globs, or folders of part files."""
+    jvm, found = spark.sparkContext._jvm.org.apache.hadoop.fs, []
+    for name in paths:
+        path = jvm.Path(name)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(path) or []:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [s.getPath().toString() for s in inside if s.isFile() and s.getPath().getName()[0] not in "._"]
+    return found
+
+
 def scan_responses_csv(spark: SparkSession, paths: str | list[str], file_to_model: dict[str, str] | None = None) -> DataFrame:
     """`model, model_response, is_correct` from CSV files with a header, one model per file.
 
-    Quoted fields may span lines. Columns are found by header name, whatever their order.
+    Quoted fields may span lines. Columns are found by each file's own header: files are grouped by
+    header line and read once per distinct header; what a file lacks is null there. `is_correct` is
+    left out only when no file has it.
     """
+    files = _files(spark, [paths] if isinstance(paths, str) else list(paths))
+    by_header: dict[str, list[str]] = {}
+    for path in files:  # one model per file: as many files as models
+        first = spark.read.text(path).limit(1).collect()
+        by_header.setdefault(first[0].value if first else "", []).append(path)
+    tables = [_responses_of_one_header(spark, group, file_to_model) for header, group in by_header.items() if header]
+    if not tables:
+        return _responses_of_one_header(spark, [paths] if isinstance(paths, str) else list(paths), file_to_model)
+    joined = tables[0]
+    for other in tables[1:]:
+        joined = joined.unionByName(other, allowMissingColumns=True)
+    return joined
+
+
+def _responses_of_one_header(spark: SparkSession, paths: list[str], file_to_model: dict[str, str] | None) -> DataFrame:
     read = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
         .option("inferSchema", False).option("enforceSchema", False).csv(paths)

@@ -70,7 +70,7 @@ def test_gamma_shuffles_once(spark):
     _, ppl = random_ppl(spark, 20, 6, seed=1)
     acc = spark.createDataFrame([(f"m{i:02d}", i / 10) for i in range(6)], "model string, accuracy double")
     plan = P.gamma(ppl, acc, [f"m{i:02d}" for i in range(6)])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_average_rank(spark):
