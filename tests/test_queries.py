@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pplscope.checks.registry import ORACLE as SQL, QUERIES
 from tools.compare import TABLES, rows
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 NO_SQL = {"loo_predictions", "loo_metrics", "nonzero_coefficients"}
 
 
@@ -38,6 +38,10 @@ def test_query(spark, small, db, name):
         assert rows(df.columns, got) == rows(names, result.fetchall())
 
 
+def test_entry_offers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["rank", "text_id", "chunk_id", "gamma", "chunk_text"] and df.count() == 20
