@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 
 from pyspark.sql import functions as F
 
+from pplscope import scratch
 from pplscope.plans import jobs
 from pplscope.session import build_session
 from pplscope.sinks import writers
@@ -23,6 +25,14 @@ def factory(name: str):
     return getattr(importlib.import_module(module), attribute)
 
 
+def mapping(text: str) -> dict[str, str]:
+    """A JSON object of strings."""
+    found = json.loads(text)
+    if not isinstance(found, dict) or not all(isinstance(v, str) for v in found.values()):
+        raise argparse.ArgumentTypeError("a JSON object of strings is needed")
+    return found
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pplscope")
     top.add_argument("--master", default=None)
@@ -65,6 +75,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--responses", nargs="+", required=True)
     p.add_argument("--chunks", required=True)
     p.add_argument("--embeddings", default=None)
+    p.add_argument("--encoder", type=factory, default=None, help="embeds the selected texts where no embeddings are given")
+    p.add_argument("--model-map", type=mapping, default=None, help="JSON object: result file name to model")
+    p.add_argument("--response-map", type=mapping, default=None, help="JSON object: response file name to model")
     p.add_argument("--output", required=True)
     p.add_argument("--seed", default="0")
 
@@ -107,7 +120,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "analyse":
         embeddings = spark.read.parquet(args.embeddings) if args.embeddings else None
         out = jobs.analyse_models(
-            spark, args.results, args.responses, spark.read.parquet(args.chunks), embeddings, seed=args.seed
+            spark, args.results, args.responses, spark.read.parquet(args.chunks), embeddings, args.model_map, args.seed,
+            args.response_map, args.encoder,
         )
         fit = out.pop("regression")
         out["predictions"], out["coefficients"] = fit.predictions, fit.coefficients.withColumn("alpha", F.lit(fit.alpha))
@@ -121,6 +135,7 @@ def main(argv: list[str] | None = None) -> None:
         download_counts(files, existing).show()
     elif args.command == "stream":
         incremental_scoring(spark, args.input, args.output, args.checkpoint, args.scorer)
+    scratch.release(spark)  # all results are written
 
 
 if __name__ == "__main__":

@@ -131,7 +131,11 @@ def chunk_overlap_text(prev: Column, chunk_overlap: int) -> Column:
     return F.coalesce(overlap_tail(prev, chunk_overlap), F.lit(""))
 
 
-def recursive_pieces(text: Column, chunk_size: int = 500, separators: tuple[str, ...] = ("\n\n", "\n", ".")) -> Column:
+# The separators of the recursive split, in the order they are tried.
+SEPARATORS = ("\n\n", "\n", ".")
+
+
+def recursive_pieces(text: Column, chunk_size: int = 500, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """Chunks from splitting at the first separator, then only the too-long pieces at the next.
 
     A separator stays at the front of the piece after it. Pieces shorter than `chunk_size` are

@@ -30,7 +30,7 @@ def resolve_text_column(df: DataFrame) -> str:
     for name in ("chunk_text", "text"):
         if name in df.columns:
             return name
-    raise ValueError(f"no chunk text column among {df.columns}")
+    raise ValueError(f"neither chunk_text nor text is one of {df.columns}")
 
 
 def int_keys(df: DataFrame) -> DataFrame:

@@ -79,6 +79,7 @@ def random_control(
 def chunk_sample_text(chunks: DataFrame, n: int = 20, legacy: bool = False) -> DataFrame:
     """One `value` per sampled chunk, to be written as text: the first `n` chunks by key."""
     first = chunks.orderBy(*KEYS).limit(n)
+    # The two layouts.
     if legacy:
         value = F.format_string(
             "[text_id=%s | chunk_id=%s]\n%s\n",
@@ -95,5 +96,6 @@ def chunk_sample_text(chunks: DataFrame, n: int = 20, legacy: bool = False) -> D
 
 def top_chunk_report(selected: DataFrame, label: str = "chunk_index") -> DataFrame:
     """One `value` per selected chunk, in selection order, to be written as text."""
+    # Fixed value: the layout.
     value = F.format_string("=== Chunk %s ===\n%s\n", F.col(label).cast("string"), strip(F.col("chunk_text")))
     return selected.select("rank", value.alias("value")).orderBy("rank")

@@ -86,7 +86,21 @@ def compare_sets(
     `embeddings` carries `text_id, chunk_id, embedding`; only the 2n selected rows are joined.
     """
     members = pinned(selected_and_control(gamma, n, seed, side))
+    return _histogram(embeddings.join(small_side(members.select("set", *S.KEYS)), S.KEYS), bins)
+
+
+def compare_texts(
+    gamma: DataFrame, chunks: DataFrame, make_encoder: Callable[[], Encoder], n: int = 100, seed: int | str = 0,
+    side: str = "top", bins: int = 50, text_col: str = "chunk_text",
+) -> DataFrame:
+    """`compare_sets` without ready embeddings: only the 2n selected texts are looked up and embedded."""
+    members = pinned(selected_and_control(gamma, n, seed, side))
+    texts = chunks.select(*S.KEYS, text_col).join(small_side(members.select("set", *S.KEYS)), S.KEYS)
+    return _histogram(embed_texts(texts, make_encoder, ["set", *S.KEYS], text_col), bins)
+
+
+def _histogram(vectors: DataFrame, bins: int) -> DataFrame:
     # The 2n vectors are read once; both passes of the histogram work on this copy.
-    vectors = pinned(embeddings.join(small_side(members.select("set", *S.KEYS)), S.KEYS))
+    vectors = pinned(vectors)
     keyed = vectors.withColumn("key", F.struct(*S.KEYS))
     return density_histogram(pairwise_cosine(keyed, "key", by="set"), "cosine", bins, by="set")

@@ -69,13 +69,17 @@ def inspect_results(results: DataFrame) -> dict[str, DataFrame]:
 def analyse_models(
     spark: SparkSession, result_paths: list[str], response_paths: list[str], chunks: DataFrame,
     embeddings: DataFrame | None = None, file_to_model: dict[str, str] | None = None, seed: int | str = 0,
+    response_to_model: dict[str, str] | None = None, make_encoder=None,
 ) -> dict[str, object]:
     """From result and response files to scores, selections, comparisons and the regression.
 
+    The maps name models by file where the file's name does not. Selections are compared by ready
+    `embeddings`, or by those `make_encoder` gives their texts.
+
     Perplexities and scores are written once; everything after reads those narrow tables.
     """
     ppl = materialize(P.results_to_ppl(scan_results(spark, result_paths, file_to_model)), "ppl")
-    accuracy = P.model_accuracy(scan_responses_csv(spark, response_paths))
+    accuracy = P.model_accuracy(scan_responses_csv(spark, response_paths, response_to_model))
     scores = materialize(P.gamma(ppl, accuracy), "gamma")
     top = S.with_rank(S.top_gamma(scores, 20))
     out: dict[str, object] = {
@@ -89,6 +93,10 @@ def analyse_models(
     if embeddings is not None:
         for side in ("top", "bottom"):
             out[f"compare_{side}"] = V.compare_sets(scores, embeddings, seed=seed, side=side)
+    elif make_encoder is not None:
+        text = resolve_text_column(chunks)
+        for side in ("top", "bottom"):
+            out[f"compare_{side}"] = V.compare_texts(scores, chunks, make_encoder, seed=seed, side=side, text_col=text)
     return out
 
 

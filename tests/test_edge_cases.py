@@ -99,3 +99,27 @@ def test_windows_are_dealt_out_before_they_are_scored(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     plan = scoring.score_documents(docs, scoring.WordLengthScorer, 4, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan[plan.index("MapInArrow") :]
+
+
+@pytest.mark.parametrize("side", ["top", "bottom"])
+def test_selected_texts_are_embedded_and_compared(spark, side):
+    from pplscope.operators import similarity
+
+    class LengthEncoder:
+        def encode(self, texts):
+            return [[len(t), t.count("a"), 1.0] for t in texts]
+
+    rows = [(i, i % 3, float(i * 7 % 50), "ab" * (i % 11 + 1)) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "text_id long, chunk_id long, gamma double, chunk_text string")
+    scores = chunks.drop("chunk_text")
+    ready = similarity.embed_texts(chunks, LengthEncoder, ["text_id", "chunk_id"])
+    want = similarity.compare_sets(scores, ready, n=10, side=side, bins=5)
+    got = similarity.compare_texts(scores, chunks, LengthEncoder, n=10, side=side, bins=5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_command_line_maps():
+    from pplscope.__main__ import parser
+
+    args = parser().parse_args(["analyse", "--results", "r", "--responses", "s", "--chunks", "c", "--output", "o", "--model-map", '{"a.parquet": "m"}'])
+    assert args.model_map == {"a.parquet": "m"} and args.encoder is None
