@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("least"))
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         moved = moved.unionByName(least.select("a", F.col("least").alias("b")))
-    return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    moved = moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return moved if large else moved.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ full; texts with one still empty go on to twice that time.
 
 Texts with an equal band (four registers) are candidates. In each bucket all texts are compared
 with one of them, the hub; what passes the estimate is verified on the shingles, and links make
-components. Only in buckets that still hold several components are further texts compared, by their
-estimates, in blocks, and only pairs of different components that pass go to verification, so no
-bucket's pairs are ever written out and no link is passed over.
+components. Where a bucket still holds several components, its texts are compared by their estimates,
+in blocks: first the likeliest pairs that would join the components are verified (a spanning forest
+by estimate, one pair fewer than texts); then every pair of different components that passes the
+estimate. So pairs within a component are never written out and no link is passed over.
 
 `classify` returns every row with its class. Linked are texts whose sets of shingles have a Jaccard
 similarity of `similarity` or more (on 32-bit hashes; two different shingles of a text of n words
@@ -32,7 +33,7 @@ from pplscope.llm.components import components
 from pplscope.llm.frames import slices, text_key, whole_text
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, BAND = 128, 4
+REGISTERS, BAND, BANDS = 256, 4, 32
 AT_ONCE = 4
 BLOCK = 1_000
 DEVIATIONS = 5.0
@@ -84,7 +85,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, count
     return winner.reshape(count, registers)
 
 
-def sketches(docs: DataFrame, text_column: str = "text", registers: int = REGISTERS, band: int = BAND) -> DataFrame:
+def sketches(docs: DataFrame, text_column: str = "text", registers: int = REGISTERS, band: int = BAND, bands: int = BANDS) -> DataFrame:
     """(key, bands, sketch) of each distinct text that has words: hashes of its bands, a byte per register."""
     rows = docs.select(whole_text(text_column).alias("text"), text_key(text_column).alias("key"))
 
@@ -94,11 +95,11 @@ def sketches(docs: DataFrame, text_column: str = "text", registers: int = REGIST
             n = part.num_rows
             kept = np.unique(owner)
             found = signatures(element, 1 + np.log(times), owner, n, registers)[kept]
-            keys = np.zeros((len(kept), registers // band), np.uint64)
+            keys = np.zeros((len(kept), bands), np.uint64)
             for i in range(band):
-                keys = W.mix(keys * np.uint64(W.WORD_FACTOR) + found[:, i::band])
-            keys = W.mix(keys + np.arange(registers // band, dtype=np.uint64) * np.uint64(W.BYTE_FACTOR))
-            offsets = np.arange(0, keys.size + 1, registers // band, dtype=np.int32)
+                keys = W.mix(keys * np.uint64(W.WORD_FACTOR) + found[:, i : bands * band : band])
+            keys = W.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(W.BYTE_FACTOR))
+            offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
             marks = (W.mix(found) >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({
                 "key": part.column("key").take(pa.array(kept)),
@@ -125,10 +126,8 @@ def _plausible(pairs: DataFrame, enough: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text_column: str, width: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are similar. Only texts in a pair are cut into shingles."""
-    pairs = scratch.materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, width: int) -> DataFrame:
+    """(key, set) of the wanted texts' shingles, written once."""
     rows = docs.select(whole_text(text_column).alias("text"), text_key(text_column).alias("key")).join(wanted, "key")
 
     def cut(batches):
@@ -138,34 +137,56 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_column: str, width: int, s
             offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"key": part.column("key"), "set": pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))})
 
-    sets = scratch.materialize(rows.mapInArrow(cut, "key long, set array<int>").dropDuplicates(["key"]), "shingles")
-    # The larger key's set travels with the pair, the hub's is joined to it: frequent hubs can be split.
+    return scratch.materialize(rows.dropDuplicates(["key"]).mapInArrow(cut, "key long, set array<int>"), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are similar. A frequent side is split by the joins."""
     both = (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
+        pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     )
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")) - shared
-    return both.where(shared >= union * F.lit(similarity - 1e-12)).select("a", "b")
+    return scratch.materialize(both.where(shared >= union * F.lit(similarity - 1e-12)).select("a", "b"), "links")
 
 
-def _blocks(batches, enough: int):
-    """Pairs of different components in one bucket's block pairs, by their sketches."""
+def _blocks(batches, enough: int, forest: bool):
+    """Plausible pairs of different components in each pair of blocks: all of them, or as many of the likeliest
+    as join what they can join."""
     for members in _groups(batches):
         order = np.argsort(members["side"], kind="stable")
         keys, labels, side = (members[c][order] for c in ("key", "label", "side"))
         marks = np.frombuffer(b"".join(members["sketch"][i] for i in order), np.uint8).reshape(len(order), -1)
         left = np.flatnonzero(side == 0)
         right = left if not side.any() else np.flatnonzero(side == 1)
-        a, b = [], []
+        a, b, agreed = [], [], []
         for i in left:
             others = right[right > i]
             others = others[labels[others] != labels[i]]
-            near = others[(marks[others] == marks[i]).sum(1) >= enough]
-            a += [keys[i]] * len(near)
-            b += keys[near].tolist()
-        if a:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            same = (marks[others] == marks[i]).sum(1)
+            near = same >= enough
+            a.append(np.full(near.sum(), i))
+            b.append(others[near])
+            agreed.append(same[near])
+        a, b, agreed = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b, agreed))
+        if forest:
+            kept, parent = [], {}
+
+            def root(x):
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            for n in np.argsort(-agreed, kind="stable").tolist():
+                x, y = root(labels[a[n]].item()), root(labels[b[n]].item())
+                if x != y:
+                    parent[x] = y
+                    kept.append(n)
+            a, b = a[kept], b[kept]
+        if len(a):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(keys[a], pa.int64()), "b": pa.array(keys[b], pa.int64())})
 
 
 def _groups(batches):
@@ -191,7 +212,7 @@ def _groups(batches):
         yield flush(held.combine_chunks())
 
 
-def _further(signed: DataFrame, labels: DataFrame, enough: int, block: int) -> DataFrame:
+def _further(signed: DataFrame, labels: DataFrame, enough: int, block: int, forest: bool) -> DataFrame:
     """Plausible pairs of different components within buckets that hold several."""
     labelled = signed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     members = labelled.select("key", "label", "sketch", F.explode("bands").alias("bucket"))
@@ -210,28 +231,31 @@ def _further(signed: DataFrame, labels: DataFrame, enough: int, block: int) -> D
         )
     )
     ordered = dealt.repartition("group").sortWithinPartitions("group")
-    return ordered.mapInArrow(lambda batches: _blocks(batches, enough), "a long, b long").select(
+    return ordered.mapInArrow(lambda batches: _blocks(batches, enough, forest), "a long, b long").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
 
 
 def links(docs: DataFrame, text_column: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY,
-          registers: int = REGISTERS, band: int = BAND, block: int = BLOCK) -> DataFrame:
+          registers: int = REGISTERS, band: int = BAND, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """(node, label): components of the distinct texts that have a link, by the keys of the texts."""
-    signed = scratch.materialize(sketches(docs, text_column, registers, band), "sketches")
+    signed = scratch.materialize(sketches(docs, text_column, registers, band, bands), "sketches")
     enough = _enough(registers, similarity)
-    members = signed.select("key", "sketch", F.explode("bands").alias("bucket"))
-    hubs = (
-        members.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("bucket", "hub")
-    )
-    pairs = members.select("key", "bucket").join(hubs, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    members = signed.select("key", F.explode("bands").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("bucket", "hub")
+    met = scratch.materialize(members.join(hubs, "bucket").select("key", "hub").distinct(), "met")
+    wanted = met.select("key").distinct()
+    signed = scratch.materialize(signed.join(wanted, "key", "left_semi"), "candidates")
+    sets = _sets(docs, wanted, text_column, width)
     mark = signed.select("key", "sketch")
-    pairs = pairs.join(mark.toDF("a", "sa"), "a").join(mark.toDF("b", "sb"), "b")
-    stars = scratch.materialize(_verified(docs, _plausible(pairs, enough), text_column, width, similarity), "links")
-    more = scratch.materialize(_further(signed, components(stars), enough, block).distinct(), "further")
-    if more.isEmpty():
-        return components(stars)
-    return components(stars.unionByName(_verified(docs, more, text_column, width, similarity)))
+    pairs = met.where("key <> hub").toDF("a", "b").join(mark.toDF("a", "sa"), "a").join(mark.toDF("b", "sb"), "b")
+    found = _verified(_plausible(pairs, enough), sets, similarity)
+    # The hub a text hangs on is label enough to choose the forest; components decide what is left.
+    hung = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    found = found.unionByName(_verified(_further(signed, hung, enough, block, forest=True), sets, similarity))
+    labels = components(found)
+    more = _verified(_further(signed, labels, enough, block, forest=False), sets, similarity)
+    return labels if more.isEmpty() else components(found.unionByName(more))
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
