@@ -33,7 +33,7 @@ MAGIC = b"DAC1"
 STORE = "part int, block int, start long, n_docs int, n_tokens long, payload binary"
 SLICE_BYTES = 2 << 20
 # Memory of a worker, whatever the input: what falls out goes to the library again.
-CACHED_CHUNKS, CACHED_WORDS, LONG_CHUNK = 350_000, 350_000, 64
+CACHED_CHUNKS, CACHED_WORDS, LONG_CHUNK = 450_000, 600_000, 64
 LONE_MARKS = frozenset(",.")
 
 
@@ -148,19 +148,21 @@ class WordEncoder:
         missing = self.chunks.missing(set().union(*cut))
         split, whole = [], []
         for chunk in missing:
-            word = chunk[:-1]
-            if chunk[-1:] in LONE_MARKS and word.isalpha():
-                split.append((chunk, word, chunk[-1]))
+            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in LONE_MARKS else (chunk, "")
+            if word.isalpha() and word.isascii():
+                split.append((chunk, word.lower(), mark))  # the vocabulary's own first step
+            elif mark and word.isalpha():
+                split.append((chunk, word, mark))
             else:
                 whole.append(chunk)
         parts = set(whole)
         parts.update(w for _, w, _ in split)
-        parts.update(m for _, _, m in split)
+        parts.update(LONE_MARKS)
         fresh = self.words.missing(parts)
         known, words = self.chunks.new, self.words.new
         words.update(zip(fresh, self._encoded(fresh), strict=True))
         known.update((c, words[c]) for c in whole)
-        known.update((c, words[w] + words[m]) for c, w, m in split)
+        known.update((c, words[w] + words[m] if m else words[w]) for c, w, m in split)
         out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in cut]
         self.words.rotate()
         self.chunks.rotate()
