@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pplscope.llm.frames import slices, whole_text
 
-SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 40_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 20_000
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
 ROUNDS, RATE, SHRINK = 60, 0.5, 1.0
