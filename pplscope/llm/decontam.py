@@ -9,7 +9,9 @@ documents. For a block:
    up its part of A'(A W) for a random W, and the leading right singular vectors follow from that
    sketch alone (Nystrom); what meets on the driver is terms times dimensions, bounded by the block;
 4. windows of about an item's length slide over every document; their latent vectors are differences
-   of running sums. Windows near an item in cosine are candidates;
+   of running sums. Of the windows that hold enough of an item's rarer words, those near it in cosine
+   are candidates, and so are those further away whose words, in any order, could still pass step 5:
+   the cosine decides which windows are looked at first and leaves none out;
 5. a candidate's longest common subsequence with the item decides: COPY of the item's words, in
    order, within about its length, or PARAPHRASE of them together with the item's answer (ANSWER of
    its words). The answer is the column of that name, or else the item's last sentence.
@@ -39,6 +41,7 @@ DIMENSIONS, OVERSAMPLE = 32, 8
 STEP = 6
 COMMON_SHARE = 0.4
 COSINE = 0.5
+FAR_WINDOWS = 4_096
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.9
 SHORT = 8
 WORD = re.compile(r"\w+")
@@ -100,14 +103,15 @@ class Block:
         """Which terms are counted for which item (terms by items), and how many a window needs.
 
         An item whose subsequence reaches PARAPHRASE lacks at most the other share of its words, whichever
-        they are; so of its rarer words a window holds all but that many. Windows with fewer can't pass.
+        they are (a short one lacks none); so of its rarer words a window holds all but that many. Windows with fewer can't pass.
         """
         member, least = np.zeros((self.size, len(self.items)), np.uint8), np.zeros(len(self.items), np.int32)
         for i, item in enumerate(self.items):
             weight = self.idf[item.terms]
             rare = item.terms[weight >= np.quantile(weight, COMMON_SHARE)]
             member[rare, i] = 1
-            least[i] = max(0, int(np.ceil(len(rare) - (1 - PARAPHRASE) * len(item.terms) - 1e-9)))
+            lacking = (1 - PARAPHRASE) * len(item.terms) if len(item.terms) >= SHORT else 0
+            least[i] = max(0, int(np.ceil(len(rare) - lacking - 1e-9)))
         return member, least
 
     def latent(self) -> np.ndarray:
@@ -263,9 +267,28 @@ def _added(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
+def could_pass(rows: np.ndarray, item: Item, size: int) -> np.ndarray:
+    """Which windows (rows of terms) hold enough of an item's words, in any order, to pass as COPY or as
+    PARAPHRASE with ANSWER. A common subsequence has no more words than two texts share, so none that
+    passes is left out."""
+
+    def shared(words: np.ndarray) -> np.ndarray:
+        terms, times = np.unique(words, return_counts=True)
+        place = np.full(size, len(terms), np.int64)
+        place[terms] = np.arange(len(terms))
+        code = place[rows] + np.arange(len(rows))[:, None] * (len(terms) + 1)
+        held = np.bincount(code.ravel(), minlength=len(rows) * (len(terms) + 1)).reshape(len(rows), -1)[:, :-1]
+        return np.minimum(held, times).sum(1) / max(1, len(words))
+
+    overlap = shared(item.terms)
+    if len(item.terms) < SHORT:
+        return overlap >= 1.0
+    return (overlap >= COPY) | ((overlap >= PARAPHRASE) & (shared(item.answer) >= ANSWER))
+
+
 def search(flat: np.ndarray, bounds: np.ndarray, block: Block, latent: np.ndarray, cosine: float = COSINE):
-    """(document, first word, item, cosine) of the candidate windows: those next to an item in latent space
-    that also hold enough of its words for any common subsequence to reach PARAPHRASE.
+    """(document, first word, item, cosine) of the candidate windows: those that hold enough of an item's words
+    for any common subsequence to reach PARAPHRASE, and are next to it in latent space or `could_pass`.
 
     Windows begin at every STEP-th word of a document and are whole numbers of steps wide, so their
     vectors are sums of few step vectors.
@@ -290,13 +313,25 @@ def search(flat: np.ndarray, bounds: np.ndarray, block: Block, latent: np.ndarra
         stop = np.minimum(begin + width, step_bounds[doc + 1])
         # A window cut short by the document's end adds nothing to the one before it, unless it is the only one.
         begin = begin[(begin + width <= step_bounds[doc + 1]) | (begin == step_bounds[doc])]
-        window = (running[stop[begin]] - running[begin]).astype(np.float32)
-        size = np.sqrt(np.einsum("ij,ij->i", window, window))
-        near = window @ latent[chosen].T
         low, high = chosen[0], chosen[-1] + 1
         enough = held[stop[begin], low:high] - held[begin, low:high] >= least[low:high].astype(np.uint16)
-        w, c = np.nonzero((near >= cosine * np.maximum(size, 1e-9)[:, None]) & enough)
-        yield doc[begin[w]], first[begin[w]], c + low, near[w, c] / np.maximum(size[w], 1e-9)
+        w, c = np.nonzero(enough)
+        order = np.argsort(c, kind="stable")
+        w, c = w[order], c[order] + low
+        ends = np.searchsorted(c, np.arange(low, high + 1))
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            at = begin[w[ends[i] : ends[i + 1]]]
+            window = (running[stop[at]] - running[at]).astype(np.float32)
+            near = window @ latent[low + i] / np.maximum(np.linalg.norm(window, axis=1), 1e-9)
+            kept = near >= cosine
+            far = np.flatnonzero(~kept)
+            for k in range(0, len(far), FAR_WINDOWS):
+                part = far[k : k + FAR_WINDOWS]
+                steps_of = at[part][:, None] + np.arange(width)
+                rows = np.where((steps_of < stop[at[part]][:, None])[:, :, None], padded[np.minimum(steps_of, len(padded) - 1)], 0)
+                kept[part] = could_pass(rows.reshape(len(part), width * STEP), block.items[low + i], block.size)
+            at, near = at[kept], near[kept]
+            yield doc[at], first[at], np.full(len(at), low + i), near
 
 
 def _judge(flat: np.ndarray, bounds: np.ndarray, block: Block, found):

@@ -127,6 +127,38 @@ def test_leaks_are_found_and_nothing_else(spark, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_no_window_that_passes_is_lost_to_the_cosine(spark):
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(900)]
+    sentence = lambda n: " ".join(r.choice(vocabulary) for _ in range(n)) + "."
+    items = [(i, " ".join(sentence(n) for n in (8, 8, 8, 7))) for i in range(60)] + [(60, "v1 v2 v3 v4")]
+    topics = [vocabulary[k : k + 20] for k in range(0, 600, 20)]
+    talk = lambda t, n: " ".join(r.choices(topics[t], k=n))
+    docs = [(i, talk(i % 30, 100)) for i in range(60)]
+    for i, text in items[:60]:  # words outside the last sentence replaced by those around, down to PARAPHRASE
+        words, topic = text.split(), r.randrange(30)
+        for k in r.sample(range(24), r.choice([4, 8, 12])):
+            words[k] = r.choice(topics[topic])
+        docs.append((100 + i, " ".join([talk(topic, r.randint(0, 50)), *words, talk(topic, r.randint(0, 50))])))
+    block = decontam.Block([(i, t, None) for i, t in items])
+    rows = [np.array([block.terms.get(w, 0) for w in decontam.WORD.findall(t.lower())], np.int32) for _, t in docs]
+    want, bits = set(), [(decontam.masks(i.terms), decontam.masks(i.answer)) for i in block.items]
+    for (doc, _), terms in zip(docs, rows, strict=True):  # every window next to every item
+        for item, (whole, ending) in zip(block.items, bits, strict=True):
+            for start in range(0, len(terms), decontam.STEP):
+                window = terms[start : start + item.window * decontam.STEP].tolist()
+                if sum(t in whole for t in window) < 0.6 * len(item.terms):
+                    continue
+                overlap = decontam.common(window, whole, len(item.terms)) / len(item.terms)
+                answer = decontam.common(window, ending, len(item.answer)) / len(item.answer)
+                if overlap == 1 or len(item.terms) >= 8 and (overlap >= 0.8 or overlap >= 0.6 and answer >= 0.9):
+                    want.add((doc, item.number))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = decontam.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want and len(want) >= 55
+    assert min(x.cosine for x in found) < decontam.COSINE
+
+
 def test_empty_tables(spark):
     docs, bench = (spark.createDataFrame([], f"{n} long, text string") for n in ("doc_id", "item_id"))
     one, item = (spark.createDataFrame([(1, "some words here")], f"{n} long, text string") for n in ("doc_id", "item_id"))
