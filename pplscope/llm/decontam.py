@@ -17,8 +17,8 @@ documents. For a block:
    its words). The answer is the column of that name, or else the item's last sentence.
 
 Null and empty texts have no words and no leaks; items without words find nothing; items shorter
-than SHORT words must be there whole. Rows with equal ids are one document in the result. Empty tables
-give an empty result.
+than SHORT words must be there whole. Rows with equal ids are one document in the result of `leaks`;
+`drop_contaminated` tells them apart by their texts. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm.frames import partitions, slices, whole_text
+from pplscope.llm.frames import partitions, slices, text_key, whole_text
 
 BLOCK_ITEMS = 500
 PIECE_WORDS = 1 << 17
@@ -46,7 +46,7 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.9
 SHORT = 8
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-LEAK = "doc_id long, item_id long, first_word int, n_words int, cosine double, overlap double, answer double"
+LEAK = "doc_id long, key long, item_id long, first_word int, n_words int, cosine double, overlap double, answer double"
 
 
 @dataclass
@@ -169,7 +169,7 @@ def _passages(terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _terms(docs: DataFrame, block, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, terms) of every document, written once."""
+    """(doc_id, key, terms) of every document, written once; `key` is its text's."""
 
     def run(batches):
         get = block.value.terms.get
@@ -178,11 +178,13 @@ def _terms(docs: DataFrame, block, id_column: str, text_column: str) -> DataFram
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int32)
             flat = np.fromiter(map(get, chain.from_iterable(words), repeat(0)), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), "terms": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                "doc_id": part.column("doc_id"), "key": part.column("key"), "terms": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             })
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return scratch.materialize(rows.mapInArrow(run, "doc_id long, terms array<int>"), "terms")
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("key"), whole_text(text_column).alias("text")
+    )
+    return scratch.materialize(rows.mapInArrow(run, "doc_id long, key long, terms array<int>"), "terms")
 
 
 def _frequencies(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -358,6 +360,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
           cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, cosine, overlap, answer): the best place of each item in each
     document that holds it."""
+    found = _places(docs, benchmark, id_column, text_column, cosine)
+    rest = ("first_word", "n_words", "cosine", "overlap", "answer")
+    one = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "answer", "cosine", F.negate("first_word").alias("back"), *rest[:2])).alias("best"))
+    return one.select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in rest])
+
+
+def _places(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, cosine: float) -> DataFrame:
+    """The columns of LEAK, a row per row of `docs` and item it holds."""
     spark = docs.sparkSession
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer"))
@@ -374,11 +384,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     for part in out:
         if part is not None:
             found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], LEAK)
-    rest = ("first_word", "n_words", "cosine", "overlap", "answer")
-    one = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "answer", "cosine", F.negate("first_word").alias("back"), *rest[:2])).alias("best"))
-    return one.select("doc_id", "item_id", *[F.col(f"best.{c}").alias(c) for c in rest])
+    return spark.createDataFrame([], LEAK) if found is None else found
 
 
 def _block_leaks(spark: SparkSession, docs: DataFrame, items: list, id_column: str, text_column: str, cosine: float) -> DataFrame | None:
@@ -399,16 +405,18 @@ def _block_leaks(spark: SparkSession, docs: DataFrame, items: list, id_column: s
             flat, bounds = _flat(part)
             best = _judge(flat, bounds, block, search(flat, bounds, block, latent, cosine))
             if best:
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[d], block.items[i].number, *v) for (d, i), v in best.items()]
+                ids, keys = part.column("doc_id").to_pylist(), part.column("key").to_pylist()
+                rows = [(ids[d], keys[d], block.items[i].number, *v) for (d, i), v in best.items()]
                 names = [c.split()[0] for c in LEAK.split(", ")]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, k, v in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
     return terms.mapInArrow(run, LEAK)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no item; their columns are kept."""
-    found = leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(found, docs[id_column].eqNullSafe(found[id_column]), "left_anti")
+    """The rows of `docs` that hold no item; their columns are kept. Rows are told apart by id and text, so
+    clean rows without id, or with the id of one that holds an item, stay."""
+    found = _places(docs, benchmark, id_column, text_column, COSINE).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = docs[id_column].cast("long").eqNullSafe(F.col("_id")) & (text_key(text_column) == F.col("_key"))
+    return docs.join(found, same, "left_anti")

@@ -159,6 +159,14 @@ def test_no_window_that_passes_is_lost_to_the_cosine(spark):
     assert min(x.cosine for x in found) < decontam.COSINE
 
 
+def test_clean_rows_without_id_or_with_one_in_common_stay(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu. nu xi omicron pi."
+    rows = [(None, item), (None, "clean words alone"), (None, None), (1, f"before {item} after"), (1, "other clean words"), (2, "more"), (2, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {tuple(r) for r in kept.collect()} == {rows[i] for i in (1, 2, 4, 5)} and kept.count() == 4
+
+
 def test_empty_tables(spark):
     docs, bench = (spark.createDataFrame([], f"{n} long, text string") for n in ("doc_id", "item_id"))
     one, item = (spark.createDataFrame([(1, "some words here")], f"{n} long, text string") for n in ("doc_id", "item_id"))
