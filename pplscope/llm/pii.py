@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pplscope.llm.frames import whole_text
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
-CONTEXT = 48
+CONTEXT, BEHIND = 48, 24
 KEEP = 0.5
 BLOCK = 256
+#: No pattern has matches of under four characters, so as many neighbours cover CONTEXT.
+NEIGHBOURS = CONTEXT // 4
 
 
 def digits(value: Column) -> Column:
@@ -62,7 +64,7 @@ def octets(value: Column) -> Column:
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data. `guard`: a literal every match contains, or a pattern; `near`: words
-    that raise the score by `lift` when they stand shortly before a match."""
+    that raise the score by `lift` when they stand near a match."""
 
     name: str
     pattern: str
@@ -132,57 +134,85 @@ def _with_matches(rows: DataFrame, kinds) -> DataFrame:
     })
 
 
-def _score(kind: Kind, gap: Column) -> Column:
-    near = F.lower(F.right(gap, F.lit(CONTEXT))).rlike(kind.near)
+def _around(gaps: Column, hits: Column, i: Column) -> Column:
+    """The text around a match, across other matches: CONTEXT characters before its start, a line end in its
+    place, and BEHIND characters after its end. Put together from its neighbours, however long the text."""
+
+    def piece(k: Column) -> Column:
+        return F.get(gaps, k)
+
+    before = F.transform(
+        F.sequence(F.greatest(i - NEIGHBOURS, F.lit(0)), i),
+        lambda k: F.concat(F.right(piece(k), F.lit(CONTEXT)), F.when(k < i, F.get(hits, k)).otherwise("")),
+    )
+    after = F.transform(
+        F.sequence(i + 1, F.least(i + 1 + NEIGHBOURS, F.size(hits))),
+        lambda k: F.concat(F.left(piece(k), F.lit(BEHIND)), F.coalesce(F.get(hits, k), F.lit(""))),
+    )
+    return F.concat(
+        F.right(F.array_join(before, ""), F.lit(CONTEXT)), F.lit("\n"), F.left(F.array_join(after, ""), F.lit(BEHIND))
+    )
+
+
+def _context(gaps: Column, hits: Column, i: Column, across: bool) -> Column:
+    return _around(gaps, hits, i) if across else F.right(F.get(gaps, i), F.lit(CONTEXT))
+
+
+def _score(kind: Kind, context: Column) -> Column:
+    near = F.lower(context).rlike(kind.near)
     return F.round(F.lit(kind.score) + F.when(near, kind.lift).otherwise(0.0), 3)
 
 
-def _kept(kind: Kind, value: Column, gap: Column) -> Column:
+def _kept(kind: Kind, value: Column, context: Column) -> Column:
     """Base kinds stay when valid; the others need a score as well."""
     valid = kind.valid(value)
-    return valid if kind.base else valid & (_score(kind, gap) >= KEEP)
+    return valid if kind.base else valid & (_score(kind, context) >= KEEP)
 
 
-def _spans(rank: int, kind: Kind) -> Column:
+def _spans(rank: int, kind: Kind, across: bool) -> Column:
     """The confirmed spans of one kind, from its matches and their places."""
     hits, gaps, at = (F.col(f"_{part}_{kind.name}") for part in ("hits", "gaps", "at"))
 
     def span(hit: Column, i: Column) -> Column:
-        start, gap = F.element_at(at, i + 1), F.element_at(gaps, i + 1)
+        start, context = F.element_at(at, i + 1), _context(gaps, hits, i, across)
         fields = {
-            "start": start, "rank": F.lit(rank), "end": start + F.length(hit), "kind": F.lit(kind.name), "score": _score(kind, gap)
+            "start": start, "rank": F.lit(rank), "end": start + F.length(hit), "kind": F.lit(kind.name), "score": _score(kind, context)
         }
-        return F.when(_kept(kind, hit, gap), F.struct(*[c.alias(n) for n, c in fields.items()]))
+        return F.when(_kept(kind, hit, context), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
     spans = F.filter(F.transform(hits, span), lambda s: s.isNotNull())
     return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(SPAN))
 
 
-def _replaced(kind: Kind) -> Column:
+def _replaced(kind: Kind, across: bool) -> Column:
     """The text put together again, confirmed matches as `<KIND>`."""
     hits, gaps = F.col(f"_hits_{kind.name}"), F.col(f"_gaps_{kind.name}")
 
     def part(gap: Column, i: Column) -> Column:
         hit = F.get(hits, i)
-        shown = F.when(_kept(kind, hit, gap), f"<{kind.name.upper()}>").otherwise(hit)
+        shown = F.when(_kept(kind, hit, _context(gaps, hits, i, across)), f"<{kind.name.upper()}>").otherwise(hit)
         return F.concat(gap, F.when(i < F.size(hits), shown).otherwise(""))
 
     return F.array_join(F.transform(gaps, part), "")
 
 
-def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", kinds=KINDS) -> DataFrame:
-    """(doc_id, spans): spans in code points, end exclusive, by start and then kind as listed."""
+def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", kinds=KINDS,
+               across: bool = False) -> DataFrame:
+    """(doc_id, spans): spans in code points, end exclusive, by start and then kind as listed.
+
+    The context is what stands between a match and the one of its kind before it, or with `across`
+    (as in op6 and in `redact`) the text on both sides, other matches or not."""
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("_text"))
     rows = _with_matches(rows, kinds).drop("_text")
     rows = rows.withColumns({
         f"_at_{k.name}": F.when(F.size(f"_hits_{k.name}") > 0, _starts(F.col(f"_gaps_{k.name}"), F.col(f"_hits_{k.name}")))
         for k in kinds
     })
-    found = [_spans(rank, k) for rank, k in enumerate(kinds)]
+    found = [_spans(rank, k, across) for rank, k in enumerate(kinds)]
     return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 
 
-def redact(docs: DataFrame, text_column: str = "text", kinds=KINDS) -> DataFrame:
+def redact(docs: DataFrame, text_column: str = "text", kinds=KINDS, across: bool = True) -> DataFrame:
     """The same columns, the text's spans replaced by `<KIND>`; null texts stay null.
 
     Kind by kind, each on the text the one before left, so that what two kinds share goes with the
@@ -192,6 +222,6 @@ def redact(docs: DataFrame, text_column: str = "text", kinds=KINDS) -> DataFrame
     order = sorted(kinds, key=lambda k: ("email", "iban", "card", "phone", "ssn", "ip").index(k.name))
     for k in order:
         rows = _with_matches(rows, [k])
-        rows = rows.withColumn("_text", F.when(F.size(f"_hits_{k.name}") > 0, _replaced(k)).otherwise(F.col("_text")))
+        rows = rows.withColumn("_text", F.when(F.size(f"_hits_{k.name}") > 0, _replaced(k, across)).otherwise(F.col("_text")))
         rows = rows.drop(f"_hits_{k.name}", f"_gaps_{k.name}")
     return rows.withColumn(text_column, F.col("_text")).drop("_text")

@@ -41,7 +41,7 @@ def _span_text(spans):
 @query()
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: counts of the base kinds, digest of their spans, all spans."""
-    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    found = pii.find_spans(table(spark, sf_dir, "documents"), across=True)
     names = [k.name for k in pii.KINDS if k.base]
     base = F.filter("spans", lambda s: s.kind.isin(names))
 

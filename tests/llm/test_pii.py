@@ -76,6 +76,21 @@ def test_added_kinds_and_context(spark):
     assert [x[1] for x in rows[2] if x[0] == "ssn"] == [4]  # nothing between the later ones and the match before them speaks for them
 
 
+def test_context_reaches_across_matches_and_behind(spark):
+    numbers = [f"{100 + k}-45-{6789 + k}" for k in range(6)]
+    texts = ["SSN: 123-45-6789, 234-56-7890", "SSN " + ", ".join(numbers), "123-45-6789 (SSN)", "123-45-6789 and 234-56-7890 are numbers",
+             "ssn " + "x" * 60 + " 123-45-6789", "123-45-6789 " + "x" * 30 + " ssn", "ssn 000-45-6789, 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "ssn"] for r in pii.find_spans(df, across=True).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        hits = [m for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", text) if not m[0].startswith("000")]
+        want[i] = [m[0] for m in hits if "ssn" in f"{text[max(0, m.start() - 48) : m.start()]}|{text[m.end() : m.end() + 24]}".lower()]
+    assert found == want and len(want[0]) == 2 and len(want[1]) >= 4 and len(want[2]) == 1 and not want[3]
+    redacted = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert redacted[0] == "SSN: <SSN>, <SSN>" and all(redacted[i].count("<SSN>") == len(want[i]) for i in want)
+
+
 def test_redact_keeps_columns_and_hides_values(spark):
     df = spark.createDataFrame(
         [(1, "mail a@b.cd now, card 4111 1111 1111 1111", "x"), (2, None, "y"), (3, "plain 1.2.3", "z")],
