@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash.
 
-A text is a bag of shingles of five words (a shorter text is one shingle), each weighing one plus
-the logarithm of its count. Every shingle sends arrivals, a Poisson process with its weight as rate
+A text is a set of shingles of five words (a shorter text is one shingle). All weigh the same, however
+often a text repeats them, so that the search measures what links are defined by. Every shingle sends arrivals, a Poisson process with its weight as rate
 and a hash of the shingle as its source of chance; each arrival goes to one of `registers`
 registers, which keeps the shingle that came first. Two texts agree in a register with the
-probability Jaccard of their weights. A text's arrivals end at a time by which its registers are
+probability Jaccard of their weights, which is the plain Jaccard for equal ones. A text's arrivals end at a time by which its registers are
 full; texts with one still empty go on to twice that time.
 
 Texts with an equal band (four registers) are candidates. In each bucket all texts are compared
@@ -91,10 +91,10 @@ def sketches(docs: DataFrame, text_column: str = "text", registers: int = REGIST
 
     def sign(batches):
         for part in slices(batches, "text"):
-            element, times, owner = shingles(part.column("text"))
+            element, _, owner = shingles(part.column("text"))
             n = part.num_rows
             kept = np.unique(owner)
-            found = signatures(element, 1 + np.log(times), owner, n, registers)[kept]
+            found = signatures(element, np.ones(len(element)), owner, n, registers)[kept]
             keys = np.zeros((len(kept), bands), np.uint64)
             for i in range(band):
                 keys = W.mix(keys * np.uint64(W.WORD_FACTOR) + found[:, i : bands * band : band])

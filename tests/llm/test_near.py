@@ -77,6 +77,17 @@ def test_classes_equal_brute_force(spark, seed, block):
     assert all(r.class_size == sizes[r.class_id] and r.class_id <= r.doc_id for r in found)
 
 
+def test_copies_that_repeat_lines_differently_often_are_linked(spark):
+    r, rows = random.Random(7), []
+    line = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    for times in (20, 100, 300):
+        for _ in range(4):
+            body, repeated = line(150), line(40)
+            rows += [(len(rows), f"{body} {repeated}"), (len(rows) + 1, " ".join([body, *[repeated] * times]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_sets(by_class(probminhash.classify(docs).collect())) == as_sets(classes(rows)) == [[i, i + 1] for i in range(0, len(rows), 2)]
+
+
 def test_edges_and_keep_one(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "a  b"), (None, "a b"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "lone words here")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
