@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, decontam, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
+from pplscope.llm import bpe, dac, decontam, filter_audit, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -156,3 +156,47 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, one row per document and item."""
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "first_word", "n_words", "overlap", "answer")
+
+
+@query("""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), words AS (
+    SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, row_number() OVER () AS r,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copied FROM docs
+), label AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+), failed AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([
+        len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+        regexp_matches(t, '[#$%&*|]'), copied
+    ]) AS bad, r
+    FROM words LEFT JOIN label ON words.doc_id = label.doc_id
+), sets AS (
+    SELECT r, any_value(part) AS part, any_value(good) AS good, any_value(toxic) AS toxic, coalesce(string_agg(f, '') FILTER (bad), '') AS bad
+    FROM failed GROUP BY r
+), counted AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM sets GROUP BY part, bad
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+    SELECT a.c || b.c || d.c || e.c || g.c AS o FROM letters a, letters b, letters d, letters e, letters g
+    WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5
+), places AS (
+    SELECT o, s::INTEGER AS step, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS earlier FROM orders, generate_series(1, 5) AS x(s)
+), judged AS (
+    SELECT part, o, step, f, n, good, toxic, contains(bad, f) AS fails, bad = f AS only_this,
+        len(list_intersect(string_split(bad, ''), string_split(earlier, ''))) > 0 AND bad <> '' AND earlier <> '' AS gone
+    FROM counted, places
+), rows AS (
+    SELECT part, o, step, any_value(f) AS f, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN only_this THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+    FROM judged GROUP BY part, o, step
+)
+SELECT part, o AS filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM rows
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders, and each one's Shapley value, by language."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
