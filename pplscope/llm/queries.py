@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, dac, decontam, filter_audit, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
+from pplscope.llm import bpe, collocations, dac, decontam, filter_audit, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -200,3 +200,38 @@ FROM rows
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in all 120 orders, and each one's Shapley value, by language."""
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("""
+WITH docs AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), pieces AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM docs
+), places AS (
+    SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+), counted AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM places GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE m = 1 GROUP BY lang
+), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE m >= 2 AND f >= 30
+), cuts AS (
+    SELECT c.lang, c.phrase, c.m, c.f AS a, k, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT) // (x.f::HUGEINT + y.f) AS score
+    FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM candidates) c
+    JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, f, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (
+        SELECT *, unnest(generate_series(1, m - s + 1)) AS i FROM candidates, (SELECT unnest([2, 3]) AS s) WHERE s < m)
+), swallowed AS (
+    SELECT DISTINCT a.lang, a.phrase FROM candidates a JOIN inside b ON a.lang = b.lang AND a.phrase = b.phrase
+    WHERE 100 * b.f::HUGEINT >= 80 * a.f::HUGEINT
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM lowest ANTI JOIN swallowed USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
