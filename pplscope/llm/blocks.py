@@ -74,11 +74,17 @@ def _record(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def deal(buckets: np.ndarray, values: np.ndarray, counts: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
     """Packed rows per bucket; the values are ascending within each bucket, the buckets ascending."""
-    edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else []
-    for start, stop in zip(edges, [*edges[1:], len(buckets)], strict=True):
+    for bucket, start, stop in runs(buckets):
         for at in range(start, stop, BLOCK_VALUES):
             end = min(stop, at + BLOCK_VALUES)
-            yield int(buckets[start]), kind, pack(values[at:end], counts[at:end])
+            yield bucket, kind, pack(values[at:end], counts[at:end])
+
+
+def runs(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, stop) of equal neighbours."""
+    if len(buckets):
+        first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+        yield from zip(buckets[first].tolist(), first.tolist(), [*first[1:].tolist(), len(buckets)], strict=True)
 
 
 def gathered(rows: DataFrame, buckets: int) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm import bpe, collocations, dac, decontam, filter_audit, hashtree, pii, probminhash, rlz, suffixes, syncmers, toxicity
+from pplscope.llm import bpe, collocations, dac, decontam, filter_audit, hashtree, kneser_ney, pii, probminhash, rlz, suffixes, syncmers, toxicity
 from pplscope.llm.frames import table
 
 QUERIES, ORACLE = {}, {}
@@ -235,3 +235,9 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of two to four words of each language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every text under a Kneser-Ney model of four fifths of them, and of counted words alone."""
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
