@@ -26,7 +26,7 @@ from pplscope.llm import blocks, words as W
 from pplscope.llm.frames import buffers, slices, whole_text
 from pplscope.llm.repeats import expand
 
-SLICE = 1 << 23
+SLICE = 1 << 21
 #: N-gram occurrences a bucket is made for, and bits of the table of survivors.
 BUCKET_MASS, TABLE_BITS = 1 << 24, 1 << 27
 SEPARATORS = np.zeros(256, bool)
