@@ -45,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--chunk-size", type=int, default=500)
     p.add_argument("--chunk-overlap", type=int, default=100)
     p.add_argument("--recursive", action="store_true", help="split by separators instead of sentences")
+    p.add_argument("--partitions", type=int, default=None, help="deal the documents out that many ways, whatever row groups they have")
+    p.add_argument("--learned-sentences", action="store_true", help="learn abbreviations from the documents")
 
     p = commands.add_parser("score", help="chunks to log-probs")
     p.add_argument("--dataset", required=True)
@@ -66,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit-docs", type=int, default=None)
     p.add_argument("--exact-limit", action="store_true")
     p.add_argument("--stitch", choices=["fresh", "concat"], default="fresh")
+    p.add_argument("--partitions", type=int, default=None)
 
     p = commands.add_parser("inspect", help="statistics of a result table")
     p.add_argument("--parquet", required=True)
@@ -100,7 +103,8 @@ def main(argv: list[str] | None = None) -> None:
     mode = "overwrite" if args.overwrite else "errorifexists"
     if args.command == "chunk":
         chunks = jobs.chunk_corpus(
-            spark, args.input, args.output, args.chunk_size, args.chunk_overlap, args.recursive, mode
+            spark, args.input, args.output, args.chunk_size, args.chunk_overlap, args.recursive, mode, args.partitions,
+            args.learned_sentences,
         )
         print(f"{chunks.count()} chunks in {args.output}")
     elif args.command == "score":
@@ -111,7 +115,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "score-folder":
         print(jobs.score_folder(
             spark, args.data_dir, args.file_pattern, args.output, args.scorer, args.max_context, args.stride,
-            args.limit_docs, args.batch_size, args.exact_limit, args.stitch, mode,
+            args.limit_docs, args.batch_size, args.exact_limit, args.stitch, mode, args.partitions,
         ))
     elif args.command == "inspect":
         for title, table in jobs.inspect_results(spark.read.parquet(args.parquet)).items():

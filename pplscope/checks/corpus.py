@@ -8,7 +8,7 @@ from pplscope import scratch
 from pplscope.checks import views as V
 from pplscope.checks.registry import check
 from pplscope.functions import text as T
-from pplscope.operators import chunking as C, columns, identity as I, selection as S, stats
+from pplscope.operators import chunking as C, columns, identity as I, segmentation as G, selection as S, stats
 from pplscope.operators.scoring import WordLengthScorer, score_chunks, score_documents
 from pplscope.sinks import writers
 from pplscope.sources import manifest as M, parquet as src
@@ -37,6 +37,89 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     return V.documents(spark, d).select("id", F.posexplode(split).alias("pos", "sentence"))
 
 
+# Learned sentence borders, by hand: the patterns and formulas are written out here a second time.
+LEARNED = f"""cleaned AS (SELECT doc_id AS id, {V.clean('text')} AS c FROM documents
+), token_lists AS (SELECT id, regexp_extract_all(c, '[^ ]+ *') AS t FROM cleaned
+), token_rows AS (
+    SELECT id, t[i] AS token, i, regexp_replace(rtrim(t[i], ' '), '^[\"''(\\[{{]+|[\"'')\\]}},;:]+$', '', 'g') AS base
+    FROM (SELECT id, t, unnest(generate_series(1, len(t))) AS i FROM token_lists)
+), kinds AS (
+    SELECT id, token, i, base, lower(regexp_replace(base, '(\\.|[.!?]{{2,}}|[!?])$', '')) AS kind,
+        regexp_matches(base, '[^.]\\.$') AS stop FROM token_rows
+), types AS (SELECT kind, count(*) FILTER (stop) AS stops, count(*) FILTER (NOT stop) AS plain FROM kinds GROUP BY kind
+), chance AS (SELECT sum(stops) / sum(stops + plain) AS p FROM types
+), sized AS (
+    SELECT *, length(kind) - length(replace(kind, '.', '')) AS inner_stops, length(replace(kind, '.', ''))::DOUBLE AS size
+    FROM types WHERE stops > 0 AND regexp_matches(kind, '\\p{{L}}') AND NOT regexp_matches(kind, '[0-9]')
+), short AS (
+    SELECT kind, stops, 2 * (stops * (ln(0.99::DOUBLE) - ln(p)) + plain * (ln(0.01::DOUBLE) - ln(1 - p)))
+        * exp(-size) * (inner_stops + 1) * pow(size, -plain::DOUBLE) AS score FROM sized, chance
+), abbreviations AS (SELECT * FROM short WHERE score >= 0.3
+), grouped AS (
+    SELECT *, CASE WHEN regexp_matches(kind, '^[0-9]+([.,:-][0-9]+)*$') THEN '##' WHEN regexp_matches(kind, '^\\p{{L}}$') THEN kind END AS own_group,
+        kind IN (SELECT kind FROM abbreviations) AS short FROM kinds
+), followed AS (
+    SELECT *, lag(base) OVER w AS prev, CASE WHEN lag(stop) OVER w THEN lag(own_group) OVER w END AS grp,
+        regexp_matches(lag(base) OVER w, '[!?]$') OR (lag(stop) OVER w AND NOT lag(short) OVER w AND lag(own_group) OVER w IS NULL) AS sure
+    FROM grouped WINDOW w AS (PARTITION BY id ORDER BY i)
+), counted AS (
+    SELECT kind, grp, count(*) AS n, count(*) FILTER (sure) AS after, count(*) FILTER (regexp_matches(base, '^\\p{{Ll}}')) AS small,
+        count(*) FILTER (regexp_matches(base, '^\\p{{Lu}}') AND NOT regexp_matches(prev, '[.!?]$')) AS large
+    FROM followed WHERE prev IS NOT NULL GROUP BY kind, grp
+), whole AS (SELECT sum(n)::DOUBLE AS n, sum(after)::DOUBLE AS ends FROM counted
+), word_counts AS (
+    SELECT kind, sum(n) AS n, sum(after) AS after, sum(small) AS small, sum(large) AS large FROM counted
+    WHERE regexp_matches(kind, '^\\p{{L}}') GROUP BY kind
+), events AS (
+    SELECT 'starter' AS what, kind AS entry, after AS n, ends AS a, w.n::DOUBLE AS b, after::DOUBLE AS ab, whole.n AS total
+    FROM word_counts w, whole WHERE after > 0 AND small > large
+    UNION ALL
+    SELECT 'collocation', grp || ' ' || c.kind, c.n, (SELECT sum(n) FROM counted g WHERE g.grp = c.grp)::DOUBLE, w.n, c.n, whole.n
+    FROM counted c JOIN word_counts w ON c.kind = w.kind, whole WHERE grp IS NOT NULL AND c.n > 1
+), fitted AS (
+    SELECT *, b / total AS p, ab / a AS p1, CASE WHEN total > a THEN (b - ab) / (total - a) END AS p2 FROM events
+), judged AS (
+    SELECT what, entry, n, 2 * (
+        CASE WHEN ab > 0 THEN ab * ln(p1) ELSE 0 END + CASE WHEN a - ab > 0 THEN (a - ab) * ln(1 - p1) ELSE 0 END
+        + CASE WHEN b - ab > 0 THEN (b - ab) * ln(p2) ELSE 0 END + CASE WHEN total - a - b + ab > 0 THEN (total - a - b + ab) * ln(1 - p2) ELSE 0 END
+        - CASE WHEN b > 0 THEN b * ln(p) ELSE 0 END - CASE WHEN total - b > 0 THEN (total - b) * ln(1 - p) ELSE 0 END) AS score
+    FROM fitted WHERE ab / a > b / total AND p2 IS NOT NULL
+), starters AS (SELECT * FROM judged WHERE what = 'starter' AND score >= 30
+), collocations AS (
+    SELECT * FROM judged WHERE what = 'collocation' AND score >= 7.88 AND split_part(entry, ' ', 2) NOT IN (SELECT entry FROM starters)
+), learned AS (
+    SELECT 'abbreviation' AS what, kind AS entry, stops AS n, score FROM abbreviations
+    UNION ALL SELECT * FROM starters UNION ALL SELECT * FROM collocations
+)"""
+
+
+@check(f"WITH {LEARNED} SELECT what, entry, n::BIGINT AS n, round(score, 4) AS score FROM learned")
+def learned_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    return G.learn_table(V.documents(spark, d)).select("what", "entry", "n", F.round("score", 4).alias("score"))
+
+
+@check(f"""WITH {LEARNED}, next_tokens AS (
+    SELECT id, i, token, base, kind, short, own_group, lead(base) OVER w AS after, lead(kind) OVER w AS next_kind
+    FROM grouped WINDOW w AS (PARTITION BY id ORDER BY i)
+), borders AS (
+    SELECT id, i, token, after IS NOT NULL AND regexp_matches(rtrim(token, ' '), '[.!?][\"'')\\]}}]*$') AND CASE
+        WHEN regexp_matches(base, '[!?]$') THEN true
+        WHEN regexp_matches(base, '\\.\\.$') THEN regexp_matches(after, '^\\p{{Lu}}')
+        WHEN own_group = '##' THEN NOT regexp_matches(after, '^\\p{{Ll}}') AND ('## ' || next_kind) NOT IN (SELECT entry FROM collocations)
+        WHEN short OR own_group IS NOT NULL THEN regexp_matches(after, '^\\p{{Lu}}') AND next_kind IN (SELECT entry FROM starters)
+            AND coalesce((own_group || ' ' || next_kind) NOT IN (SELECT entry FROM collocations), next_kind NOT IN (SELECT entry FROM collocations))
+        ELSE true END AS ends
+    FROM next_tokens
+), numbered AS (
+    SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM borders
+)
+SELECT id, pos::INTEGER AS pos, string_agg(CASE WHEN ends THEN rtrim(token, ' ') ELSE token END, '' ORDER BY i) AS sentence
+FROM numbered GROUP BY id, pos""")
+def learned_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = V.documents(spark, d)
+    return G.split_learned(docs, G.learn(docs)).select("id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 @check(f"WITH {V.BASE} SELECT text_id, chunk_id, chunk_text FROM base")
 def base_chunks(spark: SparkSession, d: str) -> DataFrame:
     return V.chunks(spark, d)
@@ -86,7 +169,8 @@ def chunk_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("lang") == "en", F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
-    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
+    docs = V.table(spark, d, "documents", partitions=V.tasks(spark))
+    return docs.select(F.col("doc_id").alias("id"), text.alias("text"))
 
 
 def _sql_level(part: str, separators: list[str], depth: int = 0) -> str:

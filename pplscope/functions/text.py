@@ -47,22 +47,30 @@ def mark_sentences(col: Column) -> Column:
     return F.translate(F.regexp_replace(guarded, BREAK_PATTERN, rf"$1{BREAK}$2"), KEEP, " ")
 
 
-def _stand_ins(text: Column) -> Column:
-    """Two noncharacters, in place of KEEP and BREAK, that the text does not hold."""
-    spare = F.slice(F.array_except(F.array(*map(F.lit, STAND_INS)), F.split(text, "")), F.lit(1), F.lit(2))
-    return F.array_join(F.when(F.size(spare) == 2, spare).otherwise(F.raise_error(F.lit("a text holds every noncharacter"))), "")
-
-
-def _swap(text: Column, old: Column, new: Column) -> Column:
+def stand_ins(text: Column) -> Column:
+    """Two characters, in place of KEEP and BREAK, that the text does not hold: noncharacters, or for a text
+    that has all but one of these, from the private planes. Only in a text that has those, too, do its own
+    marks count as marks."""
+    held = F.split(text, "")
+    spare = F.slice(F.array_except(F.array(*map(F.lit, STAND_INS)), held), F.lit(1), F.lit(2))
+    # The end depends on the text for the optimizer's sake, which would else write the array out in every plan.
+    last = F.lit(0x10FFFD) + F.least(F.length(text), F.lit(0))
+    private = F.transform(F.sequence(F.lit(0xF0000), last), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+    more = F.slice(F.array_except(private, held), F.lit(1), F.lit(2))
+    return F.when(F.size(spare) == 2, F.array_join(spare, "")).otherwise(
+        F.when(F.size(more) == 2, F.array_join(more, "")).otherwise(F.lit(KEEP + BREAK)))
+
+
+def swap(text: Column, old: Column, new: Column) -> Column:
     return F.call_function("translate", text, old, new)
 
 
 def free_of_marks(text: Column, work: Callable[[Column], Column]) -> Column:
     """`work(text)`, an array of strings, with the text's own mark characters kept: each is replaced,
-    one for one, by a noncharacter the text does not hold, and put back in the pieces. A text with all
-    but one of these is refused. Refers to `text` more than once: pass a column."""
-    marks, stand = F.lit(KEEP + BREAK), _stand_ins(text)
-    back = F.transform(work(_swap(text, marks, stand)), lambda c: _swap(c, stand, marks))
+    one for one, by a character the text does not hold, and put back in the pieces. Refers to `text`
+    more than once: pass a column."""
+    marks, stand = F.lit(KEEP + BREAK), stand_ins(text)
+    back = F.transform(work(swap(text, marks, stand)), lambda c: swap(c, stand, marks))
     return F.when(text.rlike(f"[{KEEP}{BREAK}]"), back).otherwise(work(text))
 
 
@@ -92,13 +100,13 @@ def pack_text(clean: Column, chunk_size: int = 500) -> Column:
 def pack_sentences(sentences: Column, chunk_size: int = 500) -> Column:
     """`pack_marked` of sentences that are an array already. Pass a column."""
     whole, marks = F.array_join(sentences, ""), F.lit(KEEP + BREAK)
-    stand = _stand_ins(whole)
+    stand = stand_ins(whole)
 
     def packed(items: Column) -> Column:
         return pack_marked(F.array_join(F.array_remove(items, ""), BREAK), chunk_size)
 
-    hidden = F.transform(sentences, lambda s: _swap(s, marks, stand))
-    back = F.transform(packed(hidden), lambda c: _swap(c, stand, marks))
+    hidden = F.transform(sentences, lambda s: swap(s, marks, stand))
+    back = F.transform(packed(hidden), lambda c: swap(c, stand, marks))
     return F.when(whole.rlike(f"[{KEEP}{BREAK}]"), back).otherwise(packed(sentences))
 
 

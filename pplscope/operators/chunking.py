@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from pplscope.functions import text as T
 from pplscope.operators.columns import require_columns
+from pplscope.operators.segmentation import Segmenter, pack_learned
 
 
 def chunk_documents(
-    df: DataFrame, chunk_size: int = 500, chunk_overlap: int = 100, id_col: str = "id", text_col: str = "text"
+    df: DataFrame, chunk_size: int = 500, chunk_overlap: int = 100, id_col: str = "id", text_col: str = "text",
+    segmenter: Segmenter | None = None,
 ) -> DataFrame:
     """Sentence-packed chunks, each (but a document's first) led by the end of the one before.
 
-    Row-local from the scan on: no shuffle, and one evaluation of the packing per document.
+    Row-local from the scan on: no shuffle, and one evaluation of the packing per document. Sentences
+    are cut by the plain rule, or as a learned `segmenter` tells.
     """
     require_columns(df, [id_col, text_col])
-    cleaned = df.select(F.col(id_col).alias("text_id"), T.clean_text(F.col(text_col)).alias("_clean"))
-    packed = cleaned.select("text_id", T.pack_text(F.col("_clean"), chunk_size).alias("bases"))
+    named = df.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("_text"))
+    if segmenter is None:
+        cleaned = named.select("text_id", T.clean_text(F.col("_text")).alias("_clean"))
+        packed = cleaned.select("text_id", T.pack_text(F.col("_clean"), chunk_size).alias("bases"))
+    else:
+        packed = pack_learned(named, segmenter, chunk_size, "_text", "bases").select("text_id", "bases")
     pieces = packed.select("text_id", F.posexplode(T.with_previous(F.col("bases"))).alias("chunk_id", "piece"))
     overlapped = pieces.select(
         "text_id", "chunk_id", F.col("piece.base").alias("base"),

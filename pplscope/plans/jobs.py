@@ -9,22 +9,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pplscope.operators import perplexity as P, regression as R, selection as S, similarity as V, stats
 from pplscope.operators.chunking import chunk_documents, recursive_chunks
 from pplscope.operators.columns import require_columns, resolve_text_column
-from pplscope.operators.identity import SCAN_ORDER, debug_limit, dedup_keep_first, doc_limit
+from pplscope.operators.identity import SCAN_ORDER, dedup_keep_first
+from pplscope.operators.segmentation import learn
 from pplscope.operators.scoring import Scorer, ngram_scorer, score_chunks, score_documents
 from pplscope.scratch import materialize
 from pplscope.sinks import writers
-from pplscope.sources.parquet import scan_glob, scan_parquet, stream_prompts
+from pplscope.sources.parquet import first_in_scan, limited_prompts, scan_glob, scan_parquet, stream_prompts
 from pplscope.sources.responses import scan_responses_csv, scan_results
 
 
 def chunk_corpus(
     spark: SparkSession, input_parquet: str, output_dir: str, chunk_size: int = 500, chunk_overlap: int = 100,
-    recursive: bool = False, mode: str = "errorifexists",
+    recursive: bool = False, mode: str = "errorifexists", partitions: int | None = None, learned: bool = False,
 ) -> DataFrame:
-    """Documents to a written chunk table, plus a readable sample of its first chunks."""
-    documents = require_columns(scan_parquet(spark, input_parquet, with_order=True), ["id", "text"])
+    """Documents to a written chunk table, plus a readable sample of its first chunks.
+
+    `partitions` deals the documents out that many ways; `learned` cuts sentences by what the documents
+    themselves show.
+    """
+    documents = require_columns(scan_parquet(spark, input_parquet, with_order=True, partitions=partitions), ["id", "text"])
     unique = dedup_keep_first(documents.select("id", "text", *SCAN_ORDER), "id", SCAN_ORDER)
-    chunks = recursive_chunks(unique, chunk_size) if recursive else chunk_documents(unique, chunk_size, chunk_overlap)
+    borders = learn(unique) if learned else None
+    chunks = (
+        recursive_chunks(unique, chunk_size) if recursive
+        else chunk_documents(unique, chunk_size, chunk_overlap, segmenter=borders)
+    )
     path = f"{output_dir}/chunked_texts"
     writers.write_chunks(chunks, path, mode)
     written = spark.read.parquet(path)
@@ -38,20 +47,22 @@ def score_corpus(
     max_records: int | None = None, mode: str = "errorifexists",
 ) -> dict:
     """Chunk table to written log-probs; returns rows, tokens and tokens per second."""
-    chunks = scan_parquet(spark, dataset, with_order=True)
-    require_columns(chunks, ["text_id", "chunk_id", prompt_column])
-    results = score_chunks(debug_limit(chunks, limit, SCAN_ORDER), make_scorer, prompt_column, partitions=partitions)
+    chunks = require_columns(first_in_scan(spark, dataset, limit), ["text_id", "chunk_id", prompt_column])
+    results = score_chunks(chunks, make_scorer, prompt_column, partitions=partitions)
     return stats.timed_write(results, lambda df: writers.write_results(df, output, max_records, mode))
 
 
 def score_folder(
     spark: SparkSession, data_dir: str, pattern: str, output: str, make_scorer: Callable[[], Scorer],
     ctx: int, stride: int, limit: int | None = None, batch: int = 4, exact: bool = False,
-    stitch: str = "fresh", mode: str = "errorifexists",
+    stitch: str = "fresh", mode: str = "errorifexists", partitions: int | None = None,
 ) -> dict:
     """Whole documents of a folder to written log-probs and tokens, in token windows."""
-    prompts = doc_limit(stream_prompts(scan_glob(spark, data_dir, pattern)), limit, batch, exact)
-    results = score_documents(prompts, make_scorer, ctx, stride, stitch)
+    if limit:
+        prompts = limited_prompts(spark, data_dir, pattern, limit, batch, exact)
+    else:
+        prompts = stream_prompts(scan_glob(spark, data_dir, pattern))
+    results = score_documents(prompts, make_scorer, ctx, stride, stitch, partitions=partitions)
     return stats.timed_write(results, lambda df: writers.write_doc_results(df, output, mode=mode), "prompt_logprobs")
 
 
