@@ -126,7 +126,8 @@ class WordEncoder:
     """The tokenizers library behind two memories.
 
     For a vocabulary whose split drops white space, nothing crosses a blank, so a text's ids are
-    those of its chunks; a chunk that is letters and one mark is the letters' ids and the mark's.
+    those of its chunks; a chunk that is letters, as the vocabulary normalises them, and one mark is the
+    letters' ids and the mark's. Letters that become something else (a letter and an accent) stay with the mark.
     Each chunk not yet known goes to the library, all of a slice in one call.
     """
 
@@ -137,8 +138,16 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.normal, self.letters = self.library.normalizer.normalize_str, {}
         self.chunks, self.words = Recent(CACHED_CHUNKS), Recent(CACHED_WORDS)
 
+    def is_letter(self, character: str) -> bool:
+        """Does the library keep the character with the letters around it, and apart from a mark behind it?"""
+        if character not in self.letters:
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            self.letters[character] = len(cut(f"a{character},")) == 2 and len(cut(f"a{character}a")) == 1
+        return self.letters[character]
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -151,8 +160,8 @@ class WordEncoder:
             word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in LONE_MARKS else (chunk, "")
             if word.isalpha() and word.isascii():
                 split.append((chunk, word.lower(), mark))  # the vocabulary's own first step
-            elif mark and word.isalpha():
-                split.append((chunk, word, mark))
+            elif word and not word.isascii() and all(map(self.is_letter, normal := self.normal(word))):
+                split.append((chunk, normal, mark))
             else:
                 whole.append(chunk)
         parts = set(whole)

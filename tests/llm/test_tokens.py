@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,19 @@ def expected(source):
     return out
 
 
+def test_every_code_point_before_a_mark():
+    library, own = Tokenizer.from_file(WORDS), dac.WordEncoder(WORDS)
+    # Every assigned one, and some of the others.
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) not in ("Cn", "Co") or c % 97 == 0)]
+    for mark in (",", "."):
+        for at in range(0, len(points), 1 << 15):
+            texts = [f"a{c}{mark}" for c in points[at : at + (1 << 15)]]
+            want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in own.encode(texts)] == want
+    odd = [f"{w}{m} {w.upper()}{m}" for w in ("aİ", "ÉCOLE", "e\u0301a", "क़ख", "ŉx", "ǰa", "ΑΣ", "ß", "ﬁn", "Ǆa") for m in ",."]
+    assert [x.tolist() for x in own.encode(odd)] == [e.ids for e in library.encode_batch_fast(odd, add_special_tokens=False)]
+
+
 def test_op10(spark, small):
     source = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
     got = sorted(tuple(r) for r in queries.QUERIES["op10_token_store"](spark, small).collect())
