@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pplscope import scratch
-from pplscope.llm.frames import partitions, slices, text_key, whole_text
+from pplscope.llm.frames import by_place, partitions, slices, text_key, whole_text
 
 BLOCK_ITEMS = 500
 PIECE_WORDS = 1 << 17
@@ -417,6 +417,7 @@ def _block_leaks(spark: SparkSession, docs: DataFrame, items: list, id_column: s
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that hold no item; their columns are kept. Rows are told apart by id and text, so
     clean rows without id, or with the id of one that holds an item, stay."""
-    found = _places(docs, benchmark, id_column, text_column, COSINE).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = docs[id_column].cast("long").eqNullSafe(F.col("_id")) & (text_key(text_column) == F.col("_key"))
-    return docs.join(found, same, "left_anti")
+    found = _places(docs, benchmark, id_column, text_column, COSINE).select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key")).distinct()
+    rows, (row_id, text) = by_place(docs, id_column, text_column)
+    same = F.col(row_id).cast("long").eqNullSafe(F.col("found_id")) & (text_key(text) == F.col("found_key"))
+    return rows.join(found, same, "left_anti").toDF(*docs.columns)

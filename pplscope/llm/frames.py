@@ -26,6 +26,13 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
+def by_place(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`docs` with columns c0, c1, …, and what the named ones are called now: then no name given to a
+    column of one's own clashes with one of theirs. `toDF(*docs.columns)` puts the names back."""
+    held = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(held))]), [f"c{held.index(n)}" for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks after an explicit shuffle: the session's number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

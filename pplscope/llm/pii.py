@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pplscope.llm.frames import whole_text
+from pplscope.llm.frames import by_place, whole_text
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 CONTEXT, BEHIND = 48, 24
@@ -218,10 +218,11 @@ def redact(docs: DataFrame, text_column: str = "text", kinds=KINDS, across: bool
     Kind by kind, each on the text the one before left, so that what two kinds share goes with the
     first. A kind's matches that are not confirmed stay as they are.
     """
-    rows = docs.withColumn("_text", F.col(text_column).cast("string"))
+    rows, (text,) = by_place(docs, text_column)
+    rows = rows.withColumn("_text", F.col(text).cast("string"))
     order = sorted(kinds, key=lambda k: ("email", "iban", "card", "phone", "ssn", "ip").index(k.name))
     for k in order:
         rows = _with_matches(rows, [k])
         rows = rows.withColumn("_text", F.when(F.size(f"_hits_{k.name}") > 0, _replaced(k, across)).otherwise(F.col("_text")))
         rows = rows.drop(f"_hits_{k.name}", f"_gaps_{k.name}")
-    return rows.withColumn(text_column, F.col("_text")).drop("_text")
+    return rows.withColumn(text, F.col("_text")).drop("_text").toDF(*docs.columns)

@@ -1,11 +1,13 @@
 """Near-duplicate documents by ProbMinHash.
 
-A text is a set of shingles of five words (a shorter text is one shingle). All weigh the same, however
-often a text repeats them, so that the search measures what links are defined by. Every shingle sends arrivals, a Poisson process with its weight as rate
-and a hash of the shingle as its source of chance; each arrival goes to one of `registers`
-registers, which keeps the shingle that came first. Two texts agree in a register with the
-probability Jaccard of their weights, which is the plain Jaccard for equal ones. A text's arrivals end at a time by which its registers are
-full; texts with one still empty go on to twice that time.
+A text is a weighted set of shingles of five words (a shorter text is one shingle). A shingle weighs 1,
+one that the text repeats REPEATED: bounded, so that copies that repeat a line twice or a hundred times
+are alike, while a passage that is repeated in one text alone does count. Every shingle sends arrivals,
+a Poisson process with its weight as rate and a hash of the shingle as its source of chance; each
+arrival goes to one of `registers` registers, which keeps the shingle that came first. Two texts agree
+in a register with the probability Jaccard of their weights, by which links are defined. A text's
+arrivals end at a time by which its registers are full; texts with one still empty go on to twice that
+time. Of each register's shingle the sketch keeps four bits.
 
 Texts with an equal band (four registers) are candidates. In each bucket all texts are compared
 with one of them, the hub; what passes the estimate is verified on the shingles, and links make
@@ -14,8 +16,8 @@ in blocks: first the likeliest pairs that would join the components are verified
 by estimate, one pair fewer than texts); then every pair of different components that passes the
 estimate. So pairs within a component are never written out and no link is passed over.
 
-`classify` returns every row with its class. Linked are texts whose sets of shingles have a Jaccard
-similarity of `similarity` or more (on 32-bit hashes; two different shingles of a text of n words
+`classify` returns every row with its class. Linked are texts whose weighted shingles have a probability
+Jaccard of `similarity` or more (on 32-bit hashes; two different shingles of a text of n words
 meet with n in 2**32). Equal texts are one class and are handled as one. Null, empty and blank texts
 have no shingles: each row of them is a class of its own, with no id in common. Rows without id
 belong to classes, which are named by their smallest id. An empty table gives an empty result.
@@ -25,18 +27,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pplscope import scratch
+from pplscope.bounded import small_side
 from pplscope.llm import words as W
 from pplscope.llm.components import components
-from pplscope.llm.frames import slices, text_key, whole_text
+from pplscope.llm.frames import by_place, slices, text_key, whole_text
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, BAND, BANDS = 256, 4, 32
+REGISTERS, BAND, BANDS = 512, 4, 32
+REPEATED = 1.25
 AT_ONCE = 4
 BLOCK = 1_000
-DEVIATIONS = 5.0
+DEVIATIONS = 4.5
 
 
 def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,21 +90,22 @@ def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, count
 
 
 def sketches(docs: DataFrame, text_column: str = "text", registers: int = REGISTERS, band: int = BAND, bands: int = BANDS) -> DataFrame:
-    """(key, bands, sketch) of each distinct text that has words: hashes of its bands, a byte per register."""
+    """(key, bands, sketch) of each distinct text that has words: hashes of its bands, half a byte per register."""
     rows = docs.select(whole_text(text_column).alias("text"), text_key(text_column).alias("key"))
 
     def sign(batches):
         for part in slices(batches, "text"):
-            element, _, owner = shingles(part.column("text"))
+            element, times, owner = shingles(part.column("text"))
             n = part.num_rows
             kept = np.unique(owner)
-            found = signatures(element, np.ones(len(element)), owner, n, registers)[kept]
+            found = signatures(element, np.where(times > 1, REPEATED, 1.0), owner, n, registers)[kept]
             keys = np.zeros((len(kept), bands), np.uint64)
             for i in range(band):
                 keys = W.mix(keys * np.uint64(W.WORD_FACTOR) + found[:, i : bands * band : band])
             keys = W.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(W.BYTE_FACTOR))
             offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
-            marks = (W.mix(found) >> np.uint64(56)).astype(np.uint8)
+            marks = (W.mix(found) >> np.uint64(60)).astype(np.uint8)
+            marks = marks[:, ::2] | marks[:, 1::2] << 4
             yield pa.RecordBatch.from_pydict({
                 "key": part.column("key").take(pa.array(kept)),
                 "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))),
@@ -111,8 +116,16 @@ def sketches(docs: DataFrame, text_column: str = "text", registers: int = REGIST
 
 
 def _enough(registers: int, similarity: float) -> int:
-    """Registers that texts of this similarity agree in but for DEVIATIONS standard deviations."""
-    return int(registers * similarity - DEVIATIONS * (registers * similarity * (1 - similarity)) ** 0.5)
+    """Marks that texts of this similarity agree in but for DEVIATIONS standard deviations; different shingles
+    have the same mark one time in sixteen."""
+    share = similarity + (1 - similarity) / 16
+    return int(registers * share - DEVIATIONS * (registers * share * (1 - share)) ** 0.5)
+
+
+def _agreed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Marks that are equal, per row of sketches."""
+    apart = x ^ y
+    return ((apart & 0x0F) == 0).sum(1) + ((apart & 0xF0) == 0).sum(1)
 
 
 def _plausible(pairs: DataFrame, enough: int) -> DataFrame:
@@ -121,34 +134,52 @@ def _plausible(pairs: DataFrame, enough: int) -> DataFrame:
     def keep(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= enough))
+            yield batch.select(["a", "b"]).filter(pa.array(_agreed(a, b) >= enough))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, width: int) -> DataFrame:
-    """(key, set) of the wanted texts' shingles, written once."""
+    """(key, once, again) of the wanted texts: shingles that occur once in the text, and those repeated."""
     rows = docs.select(whole_text(text_column).alias("text"), text_key(text_column).alias("key")).join(wanted, "key")
 
     def cut(batches):
         for part in slices(batches, "text"):
-            element, _, owner = shingles(part.column("text"), width)
+            element, times, owner = shingles(part.column("text"), width)
             short = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"key": part.column("key"), "set": pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))})
+            columns = {"key": part.column("key")}
+            for name, chosen in (("once", times == 1), ("again", times > 1)):
+                ends = np.searchsorted(owner[chosen], np.arange(part.num_rows + 1)).astype(np.int32)
+                columns[name] = pa.ListArray.from_arrays(pa.array(ends), pa.array(short[chosen]))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return scratch.materialize(rows.dropDuplicates(["key"]).mapInArrow(cut, "key long, once array<int>, again array<int>"), "shingles")
+
+
+def probability_jaccard(counts: dict[tuple[float, float], Column]) -> Column:
+    """Of two weighted sets, from how many elements have which weights in both: the sum over shared elements of
+    one over the sum of all larger ratios of weights."""
+    def denominator(x: float, y: float) -> Column:
+        return sum((n * F.lit(max(u / x, v / y)) for (u, v), n in counts.items()), F.lit(0.0))
 
-    return scratch.materialize(rows.dropDuplicates(["key"]).mapInArrow(cut, "key long, set array<int>"), "shingles")
+    return sum((F.when(n > 0, n / denominator(x, y)).otherwise(F.lit(0.0)) for (x, y), n in counts.items() if x and y), F.lit(0.0))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are similar. A frequent side is split by the joins."""
+    """The pairs whose weighted shingles are similar. A frequent side is split by the joins."""
     both = (
-        pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+        pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("once").alias("x1"), F.col("again").alias("x2")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("once").alias("y1"), F.col("again").alias("y2")), "b")
     )
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")) - shared
-    return scratch.materialize(both.where(shared >= union * F.lit(similarity - 1e-12)).select("a", "b"), "links")
+    sizes = {side: F.size(F.array_distinct(side)) for side in ("x1", "x2", "y1", "y2")}
+    shared = {f"{x}{y}": F.size(F.array_intersect(x, y)) for x in ("x1", "x2") for y in ("y1", "y2")}
+    both = both.select("a", "b", *[c.alias(f"n_{k}") for k, c in {**sizes, **shared}.items()])
+    n = {k: F.col(f"n_{k}") for k in [*sizes, *shared]}
+    weight = {"x1": 1.0, "x2": REPEATED, "y1": 1.0, "y2": REPEATED}
+    counts = {(weight[x], weight[y]): n[f"{x}{y}"] for x in ("x1", "x2") for y in ("y1", "y2")}
+    counts |= {(weight[x], 0.0): n[x] - n[f"{x}y1"] - n[f"{x}y2"] for x in ("x1", "x2")}
+    counts |= {(0.0, weight[y]): n[y] - n[f"x1{y}"] - n[f"x2{y}"] for y in ("y1", "y2")}
+    return scratch.materialize(both.where(probability_jaccard(counts) >= similarity - 1e-12).select("a", "b"), "links")
 
 
 def _blocks(batches, enough: int, forest: bool):
@@ -164,7 +195,7 @@ def _blocks(batches, enough: int, forest: bool):
         for i in left:
             others = right[right > i]
             others = others[labels[others] != labels[i]]
-            same = (marks[others] == marks[i]).sum(1)
+            same = _agreed(marks[others], marks[i])
             near = same >= enough
             a.append(np.full(near.sum(), i))
             b.append(others[near])
@@ -275,12 +306,22 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The rows of `docs`, one per class: the one with the smallest id, of equal ids any one. Rows
-    without words all stay."""
-    labels = links(docs.select(F.col(text_column)), text_column, **how).withColumnRenamed("node", "_key")
-    rows = docs.withColumn("_key", text_key(text_column)).join(labels, "_key", "left").withColumn("_label", F.coalesce("label", "_key"))
-    has_words = whole_text(text_column).rlike(r"[^\x20\x09-\x0D]")
-    narrow = rows.where(has_words).select("_label", id_column)
-    first = narrow.groupBy("_label").agg(F.min(id_column).alias("_first"))
-    kept = rows.where(has_words).join(first, "_label").where(F.col(id_column).eqNullSafe(F.col("_first")))
-    kept = kept.dropDuplicates(["_label"]).select(*docs.columns)
-    return kept.unionByName(docs.where(~has_words))
+    without words all stay, and all columns.
+
+    Which rows stay is decided on ids and hashes; texts move once, to meet that. Only rows equal in id and
+    text go through one more step, in which each task first keeps one of them.
+    """
+    rows, (row_id, text) = by_place(docs, id_column, text_column)
+    rows = rows.withColumn("key", text_key(text))
+    has_words = whole_text(text).rlike(r"[^\x20\x09-\x0D]")
+    labels = links(docs.select(F.col(text_column)), text_column, **how).select(F.col("node").alias("key"), "label")
+    narrow = rows.where(has_words).groupBy("key", F.col(row_id).alias("id")).agg(F.count("*").alias("times"))
+    labelled = narrow.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "key", "times")
+    winners = scratch.materialize(labelled.groupBy("label").agg(F.min(first).alias("first")).select("first.id", "first.key", "first.times"), "kept")
+    winners = winners.withColumnRenamed("key", "first_key")
+    same = F.col(row_id).eqNullSafe(F.col("id")) & (F.col("key") == F.col("first_key"))
+    kept = rows.where(has_words).join(winners.where("times = 1"), same, "left_semi")
+    often = small_side(winners.where("times > 1"))
+    again = rows.where(has_words).join(often, same, "left_semi").dropDuplicates(["key"])
+    return kept.unionByName(again).unionByName(rows.where(~has_words)).drop("key").toDF(*docs.columns)

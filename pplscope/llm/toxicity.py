@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pplscope.llm.frames import slices, whole_text
+from pplscope.llm.frames import by_place, slices, whole_text
 
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 20_000
 FEATURE_BITS = 20
@@ -254,16 +254,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns of `docs` by their names, and `_toxicity` (score, spans): spans in code points, end
-    exclusive, with their largest marginal. `id_column` is not read."""
-    rows = docs.withColumn("_text", whole_text(text_column))
+    exclusive, with their largest marginal. `id_column` is not read; a column `_toxicity` that `docs` has
+    is replaced (`reject` keeps it)."""
+    scored = _scored(docs, model, text_column)
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c != "_toxicity"]
+    return scored.select(*[F.col(here).alias(name) for here, name in kept], F.col("toxicity").alias("_toxicity"))
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that score below the threshold, all columns as they are."""
+    return _scored(docs, model, text_column).where(F.col("toxicity.score") < threshold).select(
+        *[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def _scored(docs: DataFrame, model: Model, text_column: str) -> DataFrame:
+    """The columns of `docs` as c0, c1, … and their toxicity."""
+    rows, (text,) = by_place(docs, text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))])
 
     def run(batches):
         known: dict[str, float] = {}
         model = shared.value
-        for part in slices(batches, "_text"):
-            texts = part.column("_text").to_pylist()
+        for part in slices(batches, "text"):
+            texts = part.column("text").to_pylist()
             words = [WORD.findall(t) for t in texts]
             if len(known) > CACHED_WORDS:
                 known = {}
@@ -273,12 +287,12 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 {"score": float(s), "spans": _spans(text, toxic[a : a + len(ws)])}
                 for s, text, a, ws in zip(scores, texts, starts, words, strict=True)
             ]
-            columns = {n: part.column(n) for n in part.schema.names if n != "_text"}
-            yield pa.RecordBatch.from_pydict(columns | {"_toxicity": pa.array(out, kind)})
+            columns = {n: part.column(n) for n in part.schema.names if n != "text"}
+            yield pa.RecordBatch.from_pydict(columns | {"toxicity": pa.array(out, kind)})
 
-    schema = docs.limit(0).withColumn("_toxicity", F.lit(None).cast(
+    schema = rows.limit(0).withColumn("toxicity", F.lit(None).cast(
         "struct<score:double,spans:array<struct<start:int,end:int,score:double>>>")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.withColumn("text", whole_text(text)).mapInArrow(run, schema)
 
 
 def _spans(text: str, toxic: np.ndarray) -> list[dict]:

@@ -12,12 +12,20 @@ from pplscope.llm import components, probminhash, queries
 
 
 def shingles(text):
+    """Weights of the shingles: a repeated one weighs a quarter more."""
     w = (text or "").split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    counted = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {s: 1.25 if n > 1 else 1.0 for s, n in counted.items()}
+
+
+def probability_jaccard(x, y):
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in x.keys() & y.keys())
 
 
 def classes(rows, similarity=0.8):
-    """Components of all pairs at or over the similarity; rows without words alone."""
+    """Components of all pairs at or over the similarity; rows without words alone. Pairs that share under
+    half are passed over: with weights up to a quarter apart they are far from similar."""
     parent = list(range(len(rows)))
 
     def root(i):
@@ -33,7 +41,7 @@ def classes(rows, similarity=0.8):
     for i, s in enumerate(sets):
         shared = Counter(j for x in s for j in holders[x] if j < i)
         for j, n in shared.items():
-            if n >= similarity * (len(s) + len(sets[j]) - n) - 1e-9:
+            if 2 * n >= len(s) + len(sets[j]) - n and root(i) != root(j) and probability_jaccard(s, sets[j]) >= similarity - 1e-9:
                 parent[root(i)] = root(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -90,11 +98,12 @@ def test_copies_that_repeat_lines_differently_often_are_linked(spark):
 
 def test_edges_and_keep_one(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "a  b"), (None, "a b"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "lone words here")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
+    docs = spark.createDataFrame([(*r, "x", 1, None, 2.0) for r in rows], "doc_id long, text string, key string, label int, _key string, _label double")
     found = sorted(((r.doc_id or 0, r.class_id, r.class_size) for r in probminhash.classify(docs).collect()))
     assert found == [(0, 4, 3), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 3), (5, 4, 3), (7, 7, 2), (7, 7, 2), (9, 9, 1)]
     kept = probminhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 9]
+    assert {tuple(r)[2:] for r in kept.collect()} == {("x", 1, None, 2.0)}
     assert probminhash.classify(docs.limit(0)).count() == 0 and probminhash.keep_one(docs.limit(0)).count() == 0
 
 
