@@ -17,7 +17,7 @@ from pplscope.llm import bpe, decontam, pii, probminhash, toxicity
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half, with a model of the labels on them."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("_toxicity.score") < 0.5).select(*docs.columns)
+    return toxicity.reject(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
