@@ -9,12 +9,13 @@ in a register with the probability Jaccard of their weights, by which links are
 arrivals end at a time by which its registers are full; texts with one still empty go on to twice that
 time. Of each register's shingle the sketch keeps four bits.
 
-Texts with an equal band (four registers) are candidates. In each bucket all texts are compared
-with one of them, the hub; what passes the estimate is verified on the shingles, and links make
-components. Where a bucket still holds several components, its texts are compared by their estimates,
-in blocks: first the likeliest pairs that would join the components are verified (a spanning forest
-by estimate, one pair fewer than texts); then every pair of different components that passes the
-estimate. So pairs within a component are never written out and no link is passed over.
+Texts with an equal band (four registers) are candidates. What moves with a bucket is sketches; in
+blocks of them, texts that pass the estimate are joined, and of all such pairs a block writes only as
+many as join what they can join (a forest). The clusters these make hold every pair that passes and
+shares a band. Then the shingles of clustered texts meet, once per cluster (in blocks where it is
+large), and pairs that pass the estimate are verified there, likeliest first, leaving out those that
+others have joined already. So pairs are never rows: both steps write fewer of them than texts, and no
+link is passed over.
 
 `classify` returns every row with its class. Linked are texts whose weighted shingles have a probability
 Jaccard of `similarity` or more (on 32-bit hashes; two different shingles of a text of n words
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pplscope import scratch
 from pplscope.bounded import small_side
@@ -39,7 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BAND, BANDS = 512, 4, 32
 REPEATED = 1.25
 AT_ONCE = 4
-BLOCK = 1_000
+# Sketches, and texts with their shingles, that a task compares with as many others.
+BLOCK, SET_BLOCK = 10_000, 1_000
 DEVIATIONS = 4.5
 
 
@@ -128,20 +130,9 @@ def _agreed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((apart & 0x0F) == 0).sum(1) + ((apart & 0xF0) == 0).sum(1)
 
 
-def _plausible(pairs: DataFrame, enough: int) -> DataFrame:
-    """(a, b) of the pairs whose sketches agree often enough."""
-
-    def keep(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_agreed(a, b) >= enough))
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, width: int) -> DataFrame:
     """(key, once, again) of the wanted texts: shingles that occur once in the text, and those repeated."""
-    rows = docs.select(whole_text(text_column).alias("text"), text_key(text_column).alias("key")).join(wanted, "key")
+    rows = docs.select(whole_text(text_column).alias("text"), text_key(text_column).alias("key")).join(small_side(wanted), "key")
 
     def cut(batches):
         for part in slices(batches, "text"):
@@ -156,68 +147,82 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, width: int) -> D
     return scratch.materialize(rows.dropDuplicates(["key"]).mapInArrow(cut, "key long, once array<int>, again array<int>"), "shingles")
 
 
-def probability_jaccard(counts: dict[tuple[float, float], Column]) -> Column:
-    """Of two weighted sets, from how many elements have which weights in both: the sum over shared elements of
-    one over the sum of all larger ratios of weights."""
-    def denominator(x: float, y: float) -> Column:
-        return sum((n * F.lit(max(u / x, v / y)) for (u, v), n in counts.items()), F.lit(0.0))
+def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two weighted sets, each the sorted elements of weight 1 and those of weight REPEATED: the sum over
+    shared elements of one over the sum of all larger ratios of weights."""
+    weights = (1.0, REPEATED)
+    shared = [[len(np.intersect1d(a, b, assume_unique=True)) for b in y] for a in x]
+    counts = {(u, v): shared[i][j] for i, u in enumerate(weights) for j, v in enumerate(weights)}
+    counts |= {(u, 0.0): len(x[i]) - sum(shared[i]) for i, u in enumerate(weights)}
+    counts |= {(0.0, v): len(y[j]) - shared[0][j] - shared[1][j] for j, v in enumerate(weights)}
+    return sum(n / sum(m * max(u / a, v / b) for (u, v), m in counts.items()) for (a, b), n in counts.items() if a and b and n)
 
-    return sum((F.when(n > 0, n / denominator(x, y)).otherwise(F.lit(0.0)) for (x, y), n in counts.items() if x and y), F.lit(0.0))
 
+class Joined:
+    """Members of a group and which are joined."""
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose weighted shingles are similar. A frequent side is split by the joins."""
-    both = (
-        pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("once").alias("x1"), F.col("again").alias("x2")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("once").alias("y1"), F.col("again").alias("y2")), "b")
-    )
-    sizes = {side: F.size(F.array_distinct(side)) for side in ("x1", "x2", "y1", "y2")}
-    shared = {f"{x}{y}": F.size(F.array_intersect(x, y)) for x in ("x1", "x2") for y in ("y1", "y2")}
-    both = both.select("a", "b", *[c.alias(f"n_{k}") for k, c in {**sizes, **shared}.items()])
-    n = {k: F.col(f"n_{k}") for k in [*sizes, *shared]}
-    weight = {"x1": 1.0, "x2": REPEATED, "y1": 1.0, "y2": REPEATED}
-    counts = {(weight[x], weight[y]): n[f"{x}{y}"] for x in ("x1", "x2") for y in ("y1", "y2")}
-    counts |= {(weight[x], 0.0): n[x] - n[f"{x}y1"] - n[f"{x}y2"] for x in ("x1", "x2")}
-    counts |= {(0.0, weight[y]): n[y] - n[f"x1{y}"] - n[f"x2{y}"] for y in ("y1", "y2")}
-    return scratch.materialize(both.where(probability_jaccard(counts) >= similarity - 1e-12).select("a", "b"), "links")
-
-
-def _blocks(batches, enough: int, forest: bool):
-    """Plausible pairs of different components in each pair of blocks: all of them, or as many of the likeliest
-    as join what they can join."""
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members = {i: [i] for i in range(n)}
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.of[i].item(), self.of[j].item()
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        moved = self.members.pop(b)
+        self.of[moved] = a
+        self.members[a] += moved
+        return True
+
+
+def _sides(members: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, sketches, left, right): the members by side; a group of one block is compared with itself."""
+    order = np.argsort(members["side"], kind="stable")
+    side = members["side"][order]
+    marks = np.frombuffer(b"".join(members["sketch"][i] for i in order), np.uint8).reshape(len(order), -1)
+    left = np.flatnonzero(side == 0)
+    return order, marks, left, left if not side.any() else np.flatnonzero(side == 1)
+
+
+def _forests(batches, enough: int):
+    """As many pairs of each group that pass the estimate as join all that such pairs join."""
     for members in _groups(batches):
-        order = np.argsort(members["side"], kind="stable")
-        keys, labels, side = (members[c][order] for c in ("key", "label", "side"))
-        marks = np.frombuffer(b"".join(members["sketch"][i] for i in order), np.uint8).reshape(len(order), -1)
-        left = np.flatnonzero(side == 0)
-        right = left if not side.any() else np.flatnonzero(side == 1)
-        a, b, agreed = [], [], []
-        for i in left:
+        order, marks, left, right = _sides(members)
+        keys, joined, found = members["key"][order], Joined(len(order)), []
+        for i in left.tolist():
+            others = right[right > i]
+            others = others[joined.of[others] != joined.of[i]]
+            for j in others[_agreed(marks[others], marks[i]) >= enough].tolist():
+                if joined.join(i, j):
+                    found.append((i, j))
+        if found:
+            a, b = np.array(found).T
+            yield pa.RecordBatch.from_pydict({"a": pa.array(keys[a], pa.int64()), "b": pa.array(keys[b], pa.int64())})
+
+
+def _verify(batches, enough: int, similarity: float):
+    """The links of each group that join something: pairs that pass the estimate, likeliest first."""
+    for members in _groups(batches):
+        order, marks, left, right = _sides(members)
+        keys, joined, found = members["key"][order], Joined(len(order)), []
+        sets = [tuple(np.unique(np.asarray(members[c][i], np.int32)) for c in ("once", "again")) for i in order]
+        pairs = []
+        for i in left.tolist():
             others = right[right > i]
-            others = others[labels[others] != labels[i]]
             same = _agreed(marks[others], marks[i])
             near = same >= enough
-            a.append(np.full(near.sum(), i))
-            b.append(others[near])
-            agreed.append(same[near])
-        a, b, agreed = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b, agreed))
-        if forest:
-            kept, parent = [], {}
-
-            def root(x):
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = parent.get(up, up)
-                    x = up
-                return x
-
-            for n in np.argsort(-agreed, kind="stable").tolist():
-                x, y = root(labels[a[n]].item()), root(labels[b[n]].item())
-                if x != y:
-                    parent[x] = y
-                    kept.append(n)
-            a, b = a[kept], b[kept]
-        if len(a):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(keys[a], pa.int64()), "b": pa.array(keys[b], pa.int64())})
+            pairs.append(np.stack([same[near], np.full(near.sum(), i), others[near]]))
+        agreed, a, b = np.concatenate([np.zeros((3, 0), np.int64), *pairs], 1)
+        for n in np.argsort(-agreed, kind="stable").tolist():
+            i, j = int(a[n]), int(b[n])
+            if joined.of[i] != joined.of[j] and probability_jaccard(sets[i], sets[j]) >= similarity - 1e-12:
+                joined.join(i, j)
+                found.append((keys[i], keys[j]))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _groups(batches):
@@ -225,7 +230,7 @@ def _groups(batches):
     held, current = None, None
 
     def flush(rows):
-        return {c: (rows[c].to_numpy(zero_copy_only=False) if c != "sketch" else rows[c].to_pylist()) for c in rows.column_names}
+        return {c: rows[c].to_pylist() if c == "sketch" else rows[c].to_numpy() for c in rows.column_names}
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -243,50 +248,39 @@ def _groups(batches):
         yield flush(held.combine_chunks())
 
 
-def _further(signed: DataFrame, labels: DataFrame, enough: int, block: int, forest: bool) -> DataFrame:
-    """Plausible pairs of different components within buckets that hold several."""
-    labelled = signed.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    members = labelled.select("key", "label", "sketch", F.explode("bands").alias("bucket"))
-    open_buckets = (
-        members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        .where("low <> high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    )
-    # A bucket of `parts` blocks has a group per pair of blocks; a member goes to those of its own block.
+def _dealt(rows: DataFrame, name: str, block: int) -> DataFrame:
+    """Rows of a bucket or cluster `name` in groups: one per pair of its `parts` blocks, a row in those of its own block."""
     own = F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("parts")).cast("int")
-    dealt = (
-        members.join(open_buckets, "bucket").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = [c for c in rows.columns if c not in (name, "parts")]
+    return (
+        rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "label", "sketch",
+            F.xxhash64(name, F.least("own", "other"), F.greatest("own", "other")).alias("group"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"), *rest,
         )
+        .repartition("group").sortWithinPartitions("group")
     )
-    ordered = dealt.repartition("group").sortWithinPartitions("group")
-    return ordered.mapInArrow(lambda batches: _blocks(batches, enough, forest), "a long, b long").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
+
+
+def _parts(block: int):
+    return F.ceil(F.count("*") / block).cast("int").alias("parts")
 
 
 def links(docs: DataFrame, text_column: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY,
-          registers: int = REGISTERS, band: int = BAND, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+          registers: int = REGISTERS, band: int = BAND, bands: int = BANDS, block: int = BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
     """(node, label): components of the distinct texts that have a link, by the keys of the texts."""
     signed = scratch.materialize(sketches(docs, text_column, registers, band, bands), "sketches")
-    enough = _enough(registers, similarity)
+    enough, pair = _enough(registers, similarity), "a long, b long"
     members = signed.select("key", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("bucket", "hub")
-    met = scratch.materialize(members.join(hubs, "bucket").select("key", "hub").distinct(), "met")
-    wanted = met.select("key").distinct()
-    signed = scratch.materialize(signed.join(wanted, "key", "left_semi"), "candidates")
-    sets = _sets(docs, wanted, text_column, width)
-    mark = signed.select("key", "sketch")
-    pairs = met.where("key <> hub").toDF("a", "b").join(mark.toDF("a", "sa"), "a").join(mark.toDF("b", "sb"), "b")
-    found = _verified(_plausible(pairs, enough), sets, similarity)
-    # The hub a text hangs on is label enough to choose the forest; components decide what is left.
-    hung = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    found = found.unionByName(_verified(_further(signed, hung, enough, block, forest=True), sets, similarity))
-    labels = components(found)
-    more = _verified(_further(signed, labels, enough, block, forest=False), sets, similarity)
-    return labels if more.isEmpty() else components(found.unionByName(more))
+    shared = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), _parts(block)).where("low <> high")
+    met = members.join(shared.select("bucket", "parts"), "bucket").join(signed.select("key", "sketch"), "key")
+    near = _dealt(met, "bucket", block).mapInArrow(lambda batches: _forests(batches, enough), pair)
+    clusters = scratch.materialize(components(near).withColumnsRenamed({"node": "key", "label": "cluster"}).distinct(), "clusters")
+    sets = _sets(docs, clusters.select("key"), text_column, width)
+    sizes = clusters.groupBy("cluster").agg(_parts(set_block))
+    placed = clusters.join(sizes, "cluster").join(signed.select("key", "sketch"), "key").join(sets, "key")
+    found = _dealt(placed, "cluster", set_block).mapInArrow(lambda batches: _verify(batches, enough, similarity), pair)
+    return components(found)
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:

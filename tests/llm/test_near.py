@@ -79,7 +79,7 @@ def near_copies(seed, families=12):
 def test_classes_equal_brute_force(spark, seed, block):
     rows = near_copies(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = probminhash.classify(docs, block=block).collect()
+    found = probminhash.classify(docs, block=block, set_block=block).collect()
     assert as_sets(by_class(found)) == as_sets(classes(rows))
     sizes = Counter(r.class_id for r in found)
     assert all(r.class_size == sizes[r.class_id] and r.class_id <= r.doc_id for r in found)
