@@ -225,15 +225,16 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
     every AS (
     SELECT doc_id, 'concat' AS mode, list(w[i + 1] ORDER BY window_id, i)[1 : any_value(n_tokens)] AS ws FROM (
         SELECT doc_id, w, window_id, beg, n_tokens, unnest(range(beg, "end")) AS i FROM windows) WHERE i > beg GROUP BY doc_id)
-    SELECT doc_id, mode, CAST(len(ws) AS INTEGER) AS n, md5(array_to_string(ws, ' ')) AS digest
-    FROM (SELECT * FROM fresh UNION ALL SELECT * FROM every)""")
+    , found AS (SELECT * FROM fresh UNION ALL SELECT * FROM every)
+    , wanted AS (SELECT doc_id, mode FROM tokens, (SELECT unnest(['fresh', 'concat']) AS mode) WHERE len(w) > 0)
+    SELECT doc_id, mode, CAST(coalesce(len(ws), 0) AS INTEGER) AS n, md5(coalesce(array_to_string(ws, ' '), '')) AS digest
+    FROM wanted LEFT JOIN found USING (doc_id, mode)""")
 def stitched_windows(spark: SparkSession, d: str) -> DataFrame:
     scored = _windows(spark, d).withColumn(
         "scores", F.transform("window_tokens", lambda t, i: F.when(i > 0, t))
     )
     both = [C.stitch_windows(scored, mode).withColumn("mode", F.lit(mode)) for mode in ("fresh", "concat")]
-    # A document whose only token is a window's first has nothing scored.
-    return both[0].unionByName(both[1]).where(F.size("scores") > 0).select(
+    return both[0].unionByName(both[1]).select(
         "doc_id", "mode", F.size("scores").alias("n"), F.md5(F.array_join("scores", " ")).alias("digest")
     )
 
@@ -305,7 +306,7 @@ def longest_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @check(f"WITH {V.BASE} SELECT text_id, chunk_id, CAST(ntile(7) OVER (ORDER BY text_id, chunk_id) - 1 AS INTEGER) AS slice FROM base")
 def balanced_slices(spark: SparkSession, d: str) -> DataFrame:
-    return I.balanced_slices(V.chunks(spark, d).select(*BY_KEY), 7, BY_KEY)
+    return I.balanced_slices(scratch.materialize(V.chunks(spark, d), "chunks").select(*BY_KEY), 7, BY_KEY)
 
 
 @check(f"WITH {V.BASE} SELECT text_id, chunk_id, row_number() OVER (ORDER BY text_id, chunk_id) - 1 AS chunk_index FROM base")

@@ -15,7 +15,7 @@ from pplscope.checks.registry import check
 from pplscope.functions import arrays as A
 from pplscope.operators import perplexity as P, regression as R, selection as S, similarity as sim, stats
 from pplscope.operators.columns import nonblank_response
-from pplscope.operators.scoring import WordLengthScorer, ngram_scorer, score_chunks
+from pplscope.operators.scoring import WordLengthScorer, ngram_ppl, ngram_scorer, score_chunks
 from pplscope.plans import jobs
 from pplscope.sources.responses import scan_responses_csv
 
@@ -52,7 +52,7 @@ def all_logprobs(spark: SparkSession, d: str) -> DataFrame:
 @check(f"""WITH {V.BIGRAM_LISTS} SELECT text_id, chunk_id, model, CAST(n_scored AS INTEGER) AS n_scored,
     round(coalesce(list_sum(lps), 0.0), 6) AS total, round(lps[1], 6) AS first_lp, round(lps[-1], 6) AS last_lp FROM bigram_lists""")
 def bigram_logprobs(spark: SparkSession, d: str) -> DataFrame:
-    scored = ngram_scorer(V.training(spark, d), V.chunks(spark, d), V.MODELS)
+    scored = ngram_scorer(V.training(spark, d), scratch.materialize(V.chunks(spark, d), "chunks"), V.MODELS)
     return scored.select(
         *BY_KEY, "model", F.size("logprobs").alias("n_scored"), _total("logprobs").alias("total"),
         F.round(F.try_element_at("logprobs", F.lit(1)), 6).alias("first_lp"),
@@ -60,6 +60,13 @@ def bigram_logprobs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@check(f"""WITH {V.BIGRAM_LISTS} SELECT text_id, chunk_id, model,
+    CASE WHEN n_scored > 0 THEN round(-list_sum(lps) / n_scored, 4) END AS log_ppl FROM bigram_lists""")
+def bigram_ppl(spark: SparkSession, d: str) -> DataFrame:
+    ppl = ngram_ppl(V.training(spark, d), scratch.materialize(V.chunks(spark, d), "chunks"), V.MODELS)
+    return ppl.select(*BY_KEY, "model", F.round(F.ln("ppl"), 4).alias("log_ppl"))
+
+
 @check(f"WITH {V.PPL} SELECT text_id, chunk_id, model, round(ppl, 6) AS ppl FROM ppl")
 def chunk_ppl(spark: SparkSession, d: str) -> DataFrame:
     return V.perplexities(spark, d).withColumn("ppl", F.round("ppl", 6))

@@ -106,6 +106,37 @@ def document_windows(
     )
 
 
+def spread_windows(
+    df: DataFrame, ctx: int, stride: int, partitions: int | None = None, id_col: str = "doc_id", tokens_col: str = "tokens"
+) -> DataFrame:
+    """`document_windows`, dealt out by window: for documents too long for one task.
+
+    Tokens are cut once into blocks of `stride`, the fresh tokens of a window each; a block goes to its
+    own window and to those behind it that reach back to it. What a task holds of a document is a
+    window. A document without tokens (or with null) gets one window without tokens. Ids are unique.
+    """
+    if not ctx >= stride > 0:
+        raise ValueError("need ctx >= stride > 0")
+    reach = -(-(ctx - stride) // stride)
+    n = F.coalesce(F.size(tokens_col), F.lit(0))
+    last = F.expr(f"greatest(_n - 1, 0) div {stride}").cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(tokens_col, b * stride + 1, F.lit(stride)))
+    rows = df.select(id_col, F.greatest(n, F.lit(0)).alias("_n"), F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias(tokens_col))
+    blocks = rows.select(id_col, "_n", last.alias("_last"), F.posexplode(cut).alias("_block", "_tokens"))
+    sent = blocks.withColumn("window_id", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + reach, F.col("_last")))))
+    dealt = sent.repartition(*([partitions] if partitions else []), id_col, "window_id")
+    gathered = dealt.groupBy(id_col, "window_id").agg(
+        F.max("_n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("_block", "_tokens"))).alias("_blocks")
+    )
+    cur = F.col("window_id") * stride
+    beg, end = F.greatest(F.lit(0), cur - (ctx - stride)), F.least(F.col("n_tokens"), cur + stride)
+    first = F.greatest(F.lit(0), F.col("window_id") - reach) * stride
+    return gathered.select(
+        id_col, "window_id", cur.alias("cur"), beg.alias("beg"), end.alias("end"), "n_tokens",
+        F.slice(F.flatten(F.col("_blocks._tokens")), beg - first + 1, end - beg).alias("window_tokens"),
+    )
+
+
 def stitch_windows(df: DataFrame, mode: str = "fresh", id_col: str = "doc_id") -> DataFrame:
     """Window scores back to one row per document, in token order.
 

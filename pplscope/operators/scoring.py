@@ -9,13 +9,13 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from pplscope.bounded import lookup_with_hot_keys
 from pplscope.functions.arrays import RAW_TYPE, all_tokens, extract_first_logprob
 from pplscope.functions.text import words
-from pplscope.operators.chunking import document_windows, stitch_windows
+from pplscope.operators.chunking import spread_windows, stitch_windows
 from pplscope.scratch import materialize
 
 # Executors get the batch functions by value, so they need no copy of this package.
@@ -69,14 +69,17 @@ def score_raw(
     df: DataFrame, make_scorer: Callable[[], Scorer], keys: list[str], text_col: str, batch_size: int = 1024
 ) -> DataFrame:
     """`keys` and `raw` (one entry per token). Keys stay in the batch their text is scored in,
-    and batches stream through the task; a failed task is simply run again by Spark."""
+    and batches stream through the task; a failed task is simply run again by Spark. Null and empty
+    texts have no tokens and don't reach the scorer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
         for batch in batches:
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
-                scored = scorer.score(part.column(text_col).to_pylist())
+                texts = part.column(text_col).to_pylist()
+                some = iter(scorer.score([t for t in texts if t]) if any(texts) else [])
+                scored = [next(some) if t else [] for t in texts]
                 columns = [part.column(k) for k in keys] + [_raw_array(scored)]
                 yield pa.RecordBatch.from_arrays(columns, [*keys, "raw"])
 
@@ -114,37 +117,38 @@ def score_documents(
 ) -> DataFrame:
     """`doc_id, prompt_logprobs, decoded_tokens` of whole documents, scored window by window.
 
-    Windows are dealt out before they are scored, `partitions` ways (by default as any shuffle), so a
-    very long document is scored by many tasks.
+    A document's tokens are cut once, in blocks of `stride`, and a window gathers its own blocks and those
+    it reaches back to: `partitions` ways (by default as any shuffle), so a very long document is scored by
+    many tasks and no row holds more than a window. A document without tokens is one empty window. Ids
+    name documents, so they are unique.
     """
     tokens = df.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("tokens"))
-    windows = document_windows(tokens, ctx, stride)
+    windows = spread_windows(tokens, ctx, stride, partitions)
     keys = ["doc_id", "window_id", "cur", "beg", "n_tokens"]
     texts = windows.select(*keys, F.array_join("window_tokens", " ").alias("prompt"))
-    dealt = [partitions] if partitions else []
-    texts = texts.repartition(*dealt, "doc_id", "window_id")
     raw = score_raw(texts, make_scorer, keys, "prompt")
     # One entry per window token, in place: stitching needs the positions of the unscored ones.
     entries = F.transform("raw", lambda x: F.when(x.isNotNull(), F.get(F.map_values(x), F.lit(0))))
     if mode == "concat":
         entries = all_tokens(F.col("raw"))
     stitched = stitch_windows(raw.select(*keys, entries.alias("scores")), mode)
-    scored = stitched.select(
+    return stitched.select(
         "doc_id",
         F.transform("scores", lambda t: t["logprob"]).alias("prompt_logprobs"),
         F.transform("scores", lambda t: t["decoded_token"]).alias("decoded_tokens"),
     )
-    no_tokens = tokens.where(F.size("tokens") == 0).select(
-        "doc_id", F.array().cast("array<float>").alias("prompt_logprobs"),
-        F.array().cast("array<string>").alias("decoded_tokens"),
-    )
-    return scored.unionByName(no_tokens)
+
+
+def coded_words(text: Column) -> Column:
+    """Words as 64-bit codes: fixed width wherever only equality counts. Two of n different words share one
+    with a chance of n squared in 2**65."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def bigram_rows(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """One row per adjacent word pair: `keys, pos, a, b`; a text with fewer than two words keeps
+    """One row per adjacent word pair, as codes: `keys, pos, a, b`; a text with fewer than two words keeps
     one row with nulls."""
-    tokens = df.select(*keys, words(F.col(text_col)).alias("_t"))
+    tokens = df.select(*keys, coded_words(F.col(text_col)).alias("_t"))
     n = F.greatest(F.size("_t") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("_t", F.lit(1), n).alias("a"), F.slice("_t", F.lit(2), n).alias("b"))
     return tokens.select(*keys, F.posexplode_outer(pairs).alias("pos", "p")).select(
@@ -154,7 +158,7 @@ def bigram_rows(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 def vocabulary_size(df: DataFrame, text_col: str = "text") -> int:
     """Number of distinct words."""
-    return df.select(F.explode(words(F.col(text_col))).alias("w")).agg(F.count_distinct("w")).first()[0]
+    return df.select(F.explode(coded_words(F.col(text_col))).alias("w")).agg(F.count_distinct("w")).first()[0]
 
 
 def bigram_table(train: DataFrame, scored: DataFrame, models: list[str], k: float, vocab: int) -> DataFrame:
@@ -214,3 +218,36 @@ def ngram_scorer(
         *[F.struct(F.lit(m).alias("model"), F.col(f"_t.{lp}").alias("logprobs")) for m, lp in zip(models, lps)]
     )
     return ordered.select(*keys, F.explode(per_model).alias("_m")).select(*keys, "_m.*")
+
+
+# Log-probs are summed as whole numbers of 2**-33, so that a sum doesn't depend on the order.
+SCALE = 1 << 33
+
+
+def ngram_ppl(
+    train: DataFrame,
+    texts: DataFrame,
+    models: list[str],
+    k: float = 0.1,
+    vocab: int | None = None,
+    keys: Sequence[str] = ("text_id", "chunk_id"),
+    text_col: str = "chunk_text",
+) -> DataFrame:
+    """`keys, model, ppl`: the perplexity of every text under the models of `ngram_scorer`, null for a text
+    with nothing scored.
+
+    Word pairs never come together as lists: each occurrence is three numbers until it has met its
+    log-probs, and these are added up per text and model, in the task first. The sums are exact to their
+    scale, so models with equal log-probs tie.
+    """
+    keys, size = list(keys), range(len(models))
+    vocab = vocabulary_size(train) if vocab is None else vocab
+    pairs = bigram_rows(texts, keys, text_col).drop("pos")
+    table = bigram_table(train, pairs, models, k, vocab)
+    found = lookup_with_hot_keys(pairs, table, ["a", "b"], "uses", spread=F.struct(*keys, "b"))
+    sums = found.groupBy(*keys).agg(
+        F.count("lp_0").alias("n"), *[F.sum(F.round(F.col(f"lp_{j}") * SCALE).cast("long")).alias(f"s_{j}") for j in size]
+    )
+    ppl = [F.when(F.col("n") > 0, F.exp(-F.col(f"s_{j}") / (F.col("n") * F.lit(float(SCALE))))) for j in size]
+    per_model = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("ppl")) for m, p in zip(models, ppl)])
+    return sums.select(*keys, F.explode(per_model).alias("m")).select(*keys, "m.*")

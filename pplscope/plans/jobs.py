@@ -11,7 +11,7 @@ from pplscope.operators.chunking import chunk_documents, recursive_chunks
 from pplscope.operators.columns import require_columns, resolve_text_column
 from pplscope.operators.identity import SCAN_ORDER, dedup_keep_first
 from pplscope.operators.segmentation import learn
-from pplscope.operators.scoring import Scorer, ngram_scorer, score_chunks, score_documents
+from pplscope.operators.scoring import Scorer, ngram_ppl, score_chunks, score_documents
 from pplscope.scratch import materialize
 from pplscope.sinks import writers
 from pplscope.sources.parquet import first_in_scan, limited_prompts, scan_glob, scan_parquet, stream_prompts
@@ -118,8 +118,7 @@ def top_quality_chunks(
     bigram model per name trained on `training` (model, text), and ranked by score against the
     accuracies in `responses`."""
     chunks = materialize(chunk_documents(documents, chunk_overlap=0), "chunks")
-    results = ngram_scorer(training, chunks, models)
-    scores = P.gamma(P.results_to_ppl(results), P.model_accuracy(responses), models)
+    scores = P.gamma(ngram_ppl(training, chunks, models), P.model_accuracy(responses), models)
     top = S.with_rank(S.top_gamma(scores, n))
     found = S.lookup_texts(top, chunks)
     return found.select("rank", "text_id", "chunk_id", F.round("gamma", 6).alias("gamma"), "chunk_text")
