@@ -57,8 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's rows written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`, each one's rows written and read again; a stage's rows go when the next
+    one's are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name)
+        path = scratch.new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            scratch.discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

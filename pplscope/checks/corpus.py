@@ -314,18 +314,20 @@ def dense_index(spark: SparkSession, d: str) -> DataFrame:
     return I.dense_index(V.chunks(spark, d).select(*BY_KEY), BY_KEY, "chunk_index")
 
 
-PROMPTS = """prompts AS (
-    SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text FROM (
-        SELECT doc_id, CASE lang WHEN 'de' THEN '' WHEN 'es' THEN NULL WHEN 'fr' THEN '  ' ELSE text END AS text
-        FROM documents) WHERE text <> '')"""
+# All documents, and behind them one more row of each German, Spanish and French one, without a text of its own.
+PROMPTS = """sources AS (
+    SELECT 0 AS part, doc_id, lang, text FROM documents UNION ALL
+    SELECT 1, doc_id, lang, CASE lang WHEN 'de' THEN '' WHEN 'es' THEN NULL WHEN 'fr' THEN '  ' END FROM documents WHERE lang <> 'en'),
+    prompts AS (SELECT row_number() OVER (ORDER BY part, doc_id) - 1 AS doc_id, text FROM sources WHERE text <> '')"""
 
 
 def _prompts(spark: SparkSession, d: str) -> DataFrame:
-    text = (
-        F.when(F.col("lang") == "de", F.lit("")).when(F.col("lang") == "es", F.lit(None))
-        .when(F.col("lang") == "fr", F.lit("  ")).otherwise(F.col("text"))
-    )
-    return V.table(spark, d, "documents", with_order=True).withColumn("text", text)
+    docs = V.table(spark, d, "documents").select("doc_id", "lang", "text")
+    blank = F.when(F.col("lang") == "de", F.lit("")).when(F.col("lang") == "fr", F.lit("  "))
+    path = scratch.new_path(spark, "prompts")
+    docs.write.parquet(f"{path}/part0")
+    docs.where("lang <> 'en'").withColumn("text", blank).sort("doc_id").write.parquet(f"{path}/part1")
+    return src.scan_glob(spark, path, "part*")
 
 
 @check(f"WITH {PROMPTS} SELECT * FROM prompts")
@@ -333,8 +335,7 @@ def stream_prompts(spark: SparkSession, d: str) -> DataFrame:
     return src.stream_prompts(_prompts(spark, d))
 
 
-@check("SELECT doc_id, lang, text FROM documents WHERE lang NOT IN ('de', 'es')".replace(
-    "lang, text", "lang, CASE lang WHEN 'fr' THEN '  ' ELSE text END AS text"))
+@check(f"WITH {PROMPTS} SELECT doc_id, lang, text FROM sources WHERE text <> ''")
 def nonempty_prompts(spark: SparkSession, d: str) -> DataFrame:
     return columns.nonempty_prompt(_prompts(spark, d)).select("doc_id", "lang", "text")
 
@@ -373,7 +374,7 @@ def glob_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 FILES = f"""files AS (SELECT page_id AS position, url,
-    regexp_extract(regexp_extract(regexp_extract(url, '{T.URL_PATTERN}', 1), '([^/]*)$', 1), '^[^;]*') AS filename FROM pages),
+    regexp_extract(regexp_extract(regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1), '([^/]*)$', 1), '^[^;]*') AS filename FROM pages),
     existing AS (SELECT DISTINCT filename FROM files WHERE contains(url, '/en/'))"""
 
 

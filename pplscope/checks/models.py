@@ -123,6 +123,26 @@ def responses_csv(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@check(f"""WITH {V.RESPONSES} SELECT model, count(*) AS n, count(*) FILTER (WHERE {V.strip('model_response')} <> '') AS n_usable,
+    CAST(sum(length(model_response)) AS BIGINT) AS n_chars,
+    CAST(sum(CASE WHEN model NOT IN ('m2', 'm5') THEN CAST(is_correct AS INTEGER) END) AS BIGINT) AS n_correct FROM responses GROUP BY model""")
+def responses_of_three_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Files with the columns in either order, and with one column only; the ones without answers have null there."""
+    path = scratch.new_path(spark, "responses")
+    headers = (["model_response", "is_correct"], ["is_correct", "model_response"], ["model_response"])
+    rows = V.responses(spark, d)
+    for j, m in enumerate(V.MODELS):
+        (rows.where(F.col("model") == m).select(*headers[j % 3]).write
+         .options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+         .csv(f"{path}/{m}.csv"))
+    return scan_responses_csv(spark, [f"{path}/{m}.csv" for m in V.MODELS]).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.trim("model_response") != "").alias("n_usable"),
+        F.sum(F.length("model_response")).alias("n_chars"),
+        F.sum(F.col("is_correct").cast("int")).alias("n_correct"),
+    )
+
+
 @check(f"""WITH {V.PPL}, {V.ACCURACY} SELECT model, round(accuracy, 9) AS accuracy FROM accuracy
     WHERE model IN (SELECT model FROM ppl) AND accuracy IS NOT NULL""")
 def common_models(spark: SparkSession, d: str) -> DataFrame:
@@ -296,6 +316,22 @@ def embed_plugin(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+LETTER_UNIT = "unit AS (SELECT text_id, chunk_id, list_transform(e, lambda x: coalesce(x / nullif(sqrt(list_sum(list_transform(e, lambda y: y * y))), 0), 0)) AS u " \
+    "FROM (SELECT text_id, chunk_id, [" + ", ".join(
+        f"CAST(length(chunk_text) - length(replace(chunk_text, '{c}', '')) AS DOUBLE)" for c in "etaoinsr") + "] AS e FROM texts))"
+
+
+DOCUMENT_TEXTS = "texts AS (SELECT CAST(label AS BIGINT) AS text_id, vec_id AS chunk_id, text AS chunk_text FROM embeddings JOIN documents ON vec_id = doc_id)"
+
+
+@check(_sql_compare("top", BEST).replace(UNIT, f"{DOCUMENT_TEXTS}, {LETTER_UNIT}"))
+def compare_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The selected texts and their control, embedded by an encoder instead of ready vectors."""
+    docs = V.documents(spark, d).select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    texts = V.embeddings(spark, d).select(*BY_KEY).join(docs, "chunk_id")
+    return _rounded(sim.compare_texts(V.scores(spark, d), texts, LetterEncoder, 100, 7, "top"))
+
+
 @check(f"""WITH {V.RESULTS} SELECT model, count(*) AS n_rows, CAST(sum(len(logprobs)) AS BIGINT) AS n_tokens
     FROM results GROUP BY model UNION ALL SELECT 'all', count(*), CAST(sum(len(logprobs)) AS BIGINT) FROM results""")
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
