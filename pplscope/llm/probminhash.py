@@ -35,6 +35,7 @@ from pplscope.bounded import small_side
 from pplscope.llm import words as W
 from pplscope.llm.components import components
 from pplscope.llm.frames import by_place, slices, text_key, whole_text
+from pplscope.llm.repeats import expand
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BAND, BANDS = 512, 4, 32
@@ -147,15 +148,36 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_column: str, width: int) -> D
     return scratch.materialize(rows.dropDuplicates(["key"]).mapInArrow(cut, "key long, once array<int>, again array<int>"), "shingles")
 
 
-def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two weighted sets, each the sorted elements of weight 1 and those of weight REPEATED: the sum over
-    shared elements of one over the sum of all larger ratios of weights."""
-    weights = (1.0, REPEATED)
-    shared = [[len(np.intersect1d(a, b, assume_unique=True)) for b in y] for a in x]
-    counts = {(u, v): shared[i][j] for i, u in enumerate(weights) for j, v in enumerate(weights)}
-    counts |= {(u, 0.0): len(x[i]) - sum(shared[i]) for i, u in enumerate(weights)}
-    counts |= {(0.0, v): len(y[j]) - shared[0][j] - shared[1][j] for j, v in enumerate(weights)}
-    return sum(n / sum(m * max(u / a, v / b) for (u, v), m in counts.items()) for (a, b), n in counts.items() if a and b and n)
+class Sets:
+    """The weighted shingles of a group's members, numbered: those of member i at `bounds[i]:bounds[i + 1]`,
+    with their kind (1 occurs once, 2 is repeated)."""
+
+    WEIGHTS = (0.0, 1.0, REPEATED)
+
+    def __init__(self, once: list, again: list):
+        parts = [np.unique(np.asarray(x, np.int32)) for pair in zip(once, again, strict=True) for x in pair]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        self.kind = np.repeat(np.tile(np.array([1, 2], np.int8), len(once)), sizes)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes.reshape(-1, 2).sum(1))])
+        known, self.number = np.unique(np.concatenate([np.zeros(0, np.int32), *parts]), return_inverse=True)
+        self.sizes, self.seen = sizes.reshape(-1, 2), np.zeros(len(known), np.int8)
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Probability Jaccard of member i and each of the others: the sum over shared shingles of one over the
+        sum of all larger ratios of weights."""
+        own = slice(self.bounds[i], self.bounds[i + 1])
+        self.seen[self.number[own]] = self.kind[own]
+        which, at = expand(self.bounds[others], self.bounds[others + 1] - self.bounds[others])
+        code = 9 * which + 3 * self.seen[self.number[at]].astype(np.int64) + self.kind[at]
+        counts = np.bincount(code, minlength=9 * len(others)).reshape(-1, 3, 3).astype(np.float64)
+        counts[:, 1:, 0] = self.sizes[i] - counts[:, 1:, 1:].sum(2)
+        self.seen[self.number[own]] = 0
+        total = np.zeros(len(others))
+        for x in (1, 2):
+            for y in (1, 2):
+                ratio = np.array([[max(u / self.WEIGHTS[x], v / self.WEIGHTS[y]) for v in self.WEIGHTS] for u in self.WEIGHTS])
+                total += counts[:, x, y] / np.maximum((counts * ratio).sum((1, 2)), 1e-9)
+        return total
 
 
 class Joined:
@@ -203,23 +225,18 @@ def _forests(batches, enough: int):
 
 
 def _verify(batches, enough: int, similarity: float):
-    """The links of each group that join something: pairs that pass the estimate, likeliest first."""
+    """The links of each group that join something, among the pairs that pass the estimate."""
     for members in _groups(batches):
         order, marks, left, right = _sides(members)
         keys, joined, found = members["key"][order], Joined(len(order)), []
-        sets = [tuple(np.unique(np.asarray(members[c][i], np.int32)) for c in ("once", "again")) for i in order]
-        pairs = []
+        sets = Sets(*[[members[c][i] for i in order] for c in ("once", "again")])
         for i in left.tolist():
             others = right[right > i]
-            same = _agreed(marks[others], marks[i])
-            near = same >= enough
-            pairs.append(np.stack([same[near], np.full(near.sum(), i), others[near]]))
-        agreed, a, b = np.concatenate([np.zeros((3, 0), np.int64), *pairs], 1)
-        for n in np.argsort(-agreed, kind="stable").tolist():
-            i, j = int(a[n]), int(b[n])
-            if joined.of[i] != joined.of[j] and probability_jaccard(sets[i], sets[j]) >= similarity - 1e-12:
-                joined.join(i, j)
-                found.append((keys[i], keys[j]))
+            others = others[joined.of[others] != joined.of[i]]
+            others = others[_agreed(marks[others], marks[i]) >= enough]
+            for j in others[sets.alike(i, others) >= similarity - 1e-12].tolist():
+                if joined.join(i, j):
+                    found.append((keys[i], keys[j]))
         if found:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

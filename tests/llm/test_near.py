@@ -124,6 +124,16 @@ def test_agreement_estimates_the_probability_jaccard():
     assert (a == probminhash.signatures(elements[x > 0], 7 * x[x > 0], np.zeros((x > 0).sum(), int), 1, 4096)).all()
 
 
+def test_likeness_of_sets_by_definition():
+    r = np.random.default_rng(8)
+    members = [{int(e): r.choice([1.0, 1.25]) for e in r.choice(60, r.integers(0, 50), replace=False)} for _ in range(12)]
+    sets = probminhash.Sets(*[[[e - 30 for e, w in m.items() if w == weight] for m in members] for weight in (1.0, 1.25)])
+    for i, x in enumerate(members):
+        others = np.array([j for j in range(len(members)) if j != i])
+        assert np.allclose(sets.alike(i, others), [probability_jaccard(x, members[j]) for j in others])
+    assert len(sets.alike(0, np.zeros(0, np.int64))) == 0
+
+
 def test_signature_does_not_depend_on_neighbours():
     r = np.random.default_rng(5)
     element, owner = r.integers(1, 1 << 63, 2000, dtype=np.uint64), np.sort(r.integers(0, 40, 2000))
