@@ -75,6 +75,15 @@ def test_golden_sample(spark):
     assert len(sample) == 20
 
 
+def test_invented_sample(spark):
+    df = spark.createDataFrame([(1, "Ann has a cat.\nBob has two dogs. Cid ran.")], "id long, text string")
+    sample = chunk_sample_text(C.chunk_documents(df, 30, 8)).orderBy("chunk_id").collect()
+    assert [r.value for r in sample] == [
+        "[id=1 | chunk=0]\n⋯full⋯ Ann has a cat.\n⋯new⋯  Ann has a cat.\n",
+        "[id=1 | chunk=1]\n⋯full⋯ has a cat.Bob has two dogs. Cid ran.\n⋯new⋯  Bob has two dogs. Cid ran.\n",
+    ]
+
+
 @pytest.mark.parametrize(
     "n, ctx, stride, spans",
     [(10, 6, 3, [(0, 3), (0, 6), (3, 9), (6, 10)]), (10, 3, 3, [(0, 3), (3, 6), (6, 9), (9, 10)]), (0, 4, 2, [])],

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from pplscope.operators import scoring as M
+from pplscope.operators.chunking import document_windows, spread_windows
 from pplscope.operators.stats import run_summary
 
 
@@ -62,3 +64,31 @@ def test_vocabulary_counts_lonely_words(spark):
     df = spark.createDataFrame([("a b",), ("c",), ("a",)], "text string")
     assert M.vocabulary_size(df) == 3
     assert M.bigram_rows(df.withColumn("id", F.lit(1)), ["id"], "text").where("a is null").count() == 2
+
+
+def test_perplexities_by_sums_equal_those_of_the_lists(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["the", "the", "cat", "sat", f"w{rng.randint(0, 30)}"]) for _ in range(rng.choice([0, 1, 2, 40])))
+    train = spark.createDataFrame([(f"m{rng.randint(0, 1)}", text()) for _ in range(60)], "model string, text string")
+    texts = spark.createDataFrame([(i, i % 3, text()) for i in range(80)], "text_id long, chunk_id int, chunk_text string")
+    lists = {(r.text_id, r.chunk_id, r.model): r.logprobs for r in M.ngram_scorer(train, texts, ["m0", "m1"]).collect()}
+    sums = M.ngram_ppl(train, texts, ["m0", "m1"])
+    got = {(r.text_id, r.chunk_id, r.model): r.ppl for r in sums.collect()}
+    assert got.keys() == lists.keys() and len(got) == 160
+    for key, values in lists.items():
+        assert got[key] == (pytest.approx(math.exp(-sum(values) / len(values)), rel=1e-8) if values else None)
+    assert "collect_list" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ctx, stride", [(5, 2), (3, 3), (7, 3), (8, 1)])
+def test_windows_from_blocks_are_the_windows(spark, ctx, stride):
+    rows = [(i, [f"t{j}" for j in range(n)]) for i, n in enumerate([0, 1, 2, 3, 7, 8, 50])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(2)
+    whole = document_windows(df, ctx, stride)
+    blocks = spread_windows(df, ctx, stride, partitions=3)
+    assert blocks.columns == whole.columns
+    empty = [r for r in blocks.collect() if not r.n_tokens]
+    assert [(r.doc_id, r.window_id, r.window_tokens) for r in empty] == [(0, 0, [])]
+    assert sorted(map(tuple, blocks.where("n_tokens > 0").collect())) == sorted(map(tuple, whole.collect()))
+    with pytest.raises(ValueError):
+        spread_windows(df, 2, 3)
