@@ -270,6 +270,18 @@ def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.density_histogram(sim.pairwise_cosine(_top_vectors(spark, d), "chunk_id"), "cosine"))
 
 
+ALL_PAIRS = """vectors AS (SELECT CASE WHEN chunk_id % 3 = 0 THEN 'third' ELSE 'rest' END AS "set", u.* FROM unit u),
+    pairs AS (SELECT a."set", list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])) AS cosine
+        FROM vectors a JOIN vectors b ON a."set" = b."set" AND a.chunk_id < b.chunk_id)"""
+
+
+@check(f"""WITH {UNIT}, {ALL_PAIRS}, {_sql_histogram()} SELECT "set", bin, lower, upper, n FROM histogram""")
+def all_pairs_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """The cosines of all pairs within two parts of all embeddings; only bins leave the tasks."""
+    parts = V.embeddings(spark, d).withColumn("set", F.when(F.col("chunk_id") % 3 == 0, "third").otherwise("rest"))
+    return _rounded(sim.cosine_histogram(parts, "chunk_id", by="set", block=100)).drop("density")
+
+
 @check(f"""WITH {V.PPL}, pairs AS (SELECT model AS "set", ppl AS cosine FROM ppl WHERE ppl IS NOT NULL), {_sql_histogram(20)}
     SELECT "set" AS model, bin, lower, upper, n, density FROM histogram""")
 def ppl_histogram(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -12,7 +13,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from pplscope.bounded import pinned, small_side
 from pplscope.functions.vectors import dot, norm
 from pplscope.operators import selection as S
-from pplscope.operators.stats import density_histogram
+from pplscope.operators.stats import density_histogram, filled_bins
+from pplscope.scratch import materialize
 
 
 class Encoder(Protocol):
@@ -69,6 +71,68 @@ def pairwise_cosine(
     return out if by else out.drop("_by")
 
 
+def cosine_histogram(
+    df: DataFrame, id_col: str, vec_col: str = "embedding", by: str | None = None, bins: int = 50, block: int = 2048
+) -> DataFrame:
+    """`density_histogram` of the cosines of all pairs of vectors (within each `by` set), for sets of any size.
+
+    Pairs are never rows: vectors meet in pairs of blocks, a task multiplies two blocks as matrices and
+    sends on their range, then, in a second pass, how many fall in each bin. Vectors are of one length;
+    one without length is at cosine 0 from all.
+    """
+    group = F.lit("all") if by is None else F.col(by)
+    scaled = materialize(
+        df.select(group.alias("_by"), F.xxhash64(id_col).alias("_hash"), F.col(vec_col).cast("array<double>").alias("_v")), "vectors"
+    )
+    sizes = small_side(scaled.groupBy("_by").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")))
+    own = F.pmod("_hash", F.col("_parts")).cast("int")
+    dealt = (
+        scaled.join(sizes, "_by").withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .select(
+            "_by", F.least("_own", "_other").alias("_low_block"), F.greatest("_own", "_other").alias("_high_block"),
+            (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "_v",
+        )
+        .groupBy("_by", "_low_block", "_high_block").agg(F.collect_list(F.struct("_side", "_v")).alias("_members"))
+    )
+
+    def products(members: list, within: bool) -> np.ndarray:
+        side = np.array([m["_side"] for m in members])
+        vectors = np.array([m["_v"] for m in members], np.float64).reshape(len(members), -1)
+        length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+        unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+        if within:
+            return (unit @ unit.T)[np.triu_indices(len(unit), 1)]
+        return (unit[side == 0] @ unit[side == 1].T).ravel()
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                name, found = row["_by"], products(row["_members"], row["_low_block"] == row["_high_block"])
+                if len(found):
+                    yield pa.RecordBatch.from_pydict({
+                        "_by": pa.array([name], batch.column("_by").type), "low": [found.min()], "high": [found.max()], "n": [len(found)]
+                    })
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = products(row["_members"], row["_low_block"] == row["_high_block"])
+                place = np.floor((found - row["_low"]) / (row["_high"] - row["_low"]) * float(bins)) + 1
+                bin_, n = np.unique(np.clip(place, 1, bins).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"_by": pa.array([row["_by"]] * len(bin_), batch.column("_by").type), "bin": bin_, "n": n})
+
+    kind = df.select(group.alias("_by")).schema["_by"].dataType.simpleString()
+    low, high = F.min("low"), F.max("high")
+    half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
+    ranges = small_side(
+        dealt.mapInArrow(spans, f"_by {kind}, low double, high double, n long").groupBy("_by")
+        .agg((low - half).alias("_low"), (high + half).alias("_high"), F.sum("n").alias("_total"))
+    )
+    binned = dealt.join(ranges.select("_by", "_low", "_high"), "_by").mapInArrow(counts, f"_by {kind}, bin int, n long")
+    return filled_bins(ranges, binned.groupBy("_by", "bin").agg(F.sum("n").alias("n")), bins, by)
+
+
 def selected_and_control(gamma: DataFrame, n: int = 100, seed: int | str = 0, side: str = "top") -> DataFrame:
     """The top (or bottom) `n` chunks and `n` random others, told apart by `set`."""
     if side not in ("top", "bottom"):

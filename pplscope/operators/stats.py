@@ -81,15 +81,22 @@ def density_histogram(df: DataFrame, col: str, bins: int = 50, by: str | None =
         )
     )
 
-    def edge(i: Column) -> Column:
-        return F.col("_low") + (F.col("_high") - F.col("_low")) * i / float(bins)
-
     position = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * float(bins)) + 1
     counts = (
         values.join(ranges, "_by")
         .select("_by", F.least(position, F.lit(bins)).cast("int").alias("bin"))
         .groupBy("_by", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
+    return filled_bins(ranges, counts, bins, by)
+
+
+def filled_bins(ranges: DataFrame, counts: DataFrame, bins: int, by: str | None) -> DataFrame:
+    """The columns of `density_histogram` from each group's range (`_by, _low, _high, _total`) and the counts
+    of the bins that have any (`_by, bin, n`)."""
+
+    def edge(i: Column) -> Column:
+        return F.col("_low") + (F.col("_high") - F.col("_low")) * i / float(bins)
+
     grid = ranges.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("_high") - F.col("_low")) / float(bins)
     filled = grid.join(counts, ["_by", "bin"], "left").select(
