@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -71,65 +72,114 @@ def pairwise_cosine(
     return out if by else out.drop("_by")
 
 
+# A block of vectors that a task holds, and the fewest blocks of a set with enough tiles: vectors move as often as there are blocks.
+HELD_VALUES = 1 << 23
+LEAST_BLOCKS = 12
+
+
 def cosine_histogram(
     df: DataFrame, id_col: str, vec_col: str = "embedding", by: str | None = None, bins: int = 50, block: int = 2048
 ) -> DataFrame:
     """`density_histogram` of the cosines of all pairs of vectors (within each `by` set), for sets of any size.
 
-    Pairs are never rows: vectors meet in pairs of blocks, a task multiplies two blocks as matrices and
-    sends on their range, then, in a second pass, how many fall in each bin. Vectors are of one length;
-    one without length is at cosine 0 from all.
+    Pairs are never rows: vectors meet in pairs of blocks, a task holds one block, lets the other one pass
+    and multiplies them in tiles of `block` rows. It sends on their range, then, in a second pass, how many
+    fall in each bin. Blocks are as large as a task may hold, so a vector moves as often as a set has
+    blocks, not tiles. Vectors are of one length; one without length is at cosine 0 from all, null is left out.
     """
+    spark = df.sparkSession
     group = F.lit("all") if by is None else F.col(by)
     scaled = materialize(
-        df.select(group.alias("_by"), F.xxhash64(id_col).alias("_hash"), F.col(vec_col).cast("array<double>").alias("_v")), "vectors"
+        df.where(F.col(vec_col).isNotNull()).select(group.alias("_by"), F.xxhash64(id_col).alias("_hash"), F.col(vec_col).alias("_v")),
+        "vectors",
     )
-    sizes = small_side(scaled.groupBy("_by").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")))
+    held = F.ceil(F.count("*") * F.max(F.size("_v")) / HELD_VALUES)
+    parts = F.greatest(held, F.least(F.ceil(F.count("*") / block), F.lit(LEAST_BLOCKS)))
+    sizes = small_side(scaled.groupBy("_by").agg(parts.cast("int").alias("_parts")))
     own = F.pmod("_hash", F.col("_parts")).cast("int")
-    dealt = (
+    sent = (
         scaled.join(sizes, "_by").withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .select(
             "_by", F.least("_own", "_other").alias("_low_block"), F.greatest("_own", "_other").alias("_high_block"),
             (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "_v",
         )
-        .groupBy("_by", "_low_block", "_high_block").agg(F.collect_list(F.struct("_side", "_v")).alias("_members"))
     )
+    keys = ["_by", "_low_block", "_high_block"]
+    # A stated number, as the work of a partition does not follow its bytes.
+    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(ways, *keys).sortWithinPartitions(*keys, "_side")
 
-    def products(members: list, within: bool) -> np.ndarray:
-        side = np.array([m["_side"] for m in members])
-        vectors = np.array([m["_v"] for m in members], np.float64).reshape(len(members), -1)
+    def units(batch: pa.RecordBatch, start: int, n: int) -> np.ndarray:
+        vectors = batch.column("_v").slice(start, n).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
         length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-        unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
-        if within:
-            return (unit @ unit.T)[np.triu_indices(len(unit), 1)]
-        return (unit[side == 0] @ unit[side == 1].T).ravel()
+        return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+    def within(rows: np.ndarray) -> Iterator[np.ndarray]:
+        for at in range(0, len(rows), block):
+            tile = rows[at : at + block]
+            yield (tile @ tile.T)[np.triu_indices(len(tile), 1)]
+            for other in range(at + block, len(rows), 4096):
+                yield (tile @ rows[other : other + 4096].T).ravel()
+
+    def products(batches: Iterator[pa.RecordBatch], kinds: list, extra: Sequence[str] = ()) -> Iterator[tuple]:
+        """(the set, the `extra` columns of a row of it, cosines) tile by tile; `kinds` gets the type of the set."""
+        current, first, members = None, (), []
+        for batch in batches:
+            runs = list(zip(*[batch.column(k).to_pylist() for k in [*keys, "_side"]]))
+            start = 0
+            for run, same in itertools.groupby(runs):
+                n = sum(1 for _ in same)
+                rows = units(batch, start, n)
+                if run[:3] != current:
+                    if current and current[1] == current[2] and members:
+                        for found in within(np.concatenate(members)):
+                            yield current[0], first, found
+                    current, members = run[:3], []
+                    kinds[:] = [batch.column("_by").type]
+                    first = tuple(batch.column(c)[start].as_py() for c in extra)
+                if run[3] == 0:
+                    members.append(rows)
+                elif members:
+                    members = [np.concatenate(members)] if len(members) > 1 else members
+                    for at in range(0, len(members[0]), block):
+                        for other in range(0, n, 4096):
+                            yield current[0], first, (members[0][at : at + block] @ rows[other : other + 4096].T).ravel()
+                start += n
+        if current and current[1] == current[2] and members:
+            for found in within(np.concatenate(members)):
+                yield current[0], first, found
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                name, found = row["_by"], products(row["_members"], row["_low_block"] == row["_high_block"])
-                if len(found):
-                    yield pa.RecordBatch.from_pydict({
-                        "_by": pa.array([name], batch.column("_by").type), "low": [found.min()], "high": [found.max()], "n": [len(found)]
-                    })
+        seen, kinds = {}, []
+        for name, _, found in products(batches, kinds):
+            if len(found):
+                low, high, n = seen.get(name, (np.inf, -np.inf, 0))
+                seen[name] = (np.minimum(low, found.min()), np.maximum(high, found.max()), n + len(found))
+        for name, (low, high, n) in seen.items():
+            yield pa.RecordBatch.from_pydict({"_by": pa.array([name], kinds[0]), "low": [float(low)], "high": [float(high)], "n": [n]})
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = products(row["_members"], row["_low_block"] == row["_high_block"])
-                place = np.floor((found - row["_low"]) / (row["_high"] - row["_low"]) * float(bins)) + 1
-                bin_, n = np.unique(np.clip(place, 1, bins).astype(np.int32), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"_by": pa.array([row["_by"]] * len(bin_), batch.column("_by").type), "bin": bin_, "n": n})
+        seen, kinds = {}, []
+        for name, (low, high), found in products(batches, kinds, ("_low", "_high")):
+            place = np.clip(np.floor((found - low) / (high - low) * float(bins)) + 1, 1, bins)
+            binned = np.bincount(place[place >= 1].astype(np.int32), minlength=bins + 1)
+            seen[name] = seen.get(name, 0) + binned
+        for name, binned in seen.items():
+            some = np.flatnonzero(binned)
+            yield pa.RecordBatch.from_pydict(
+                {"_by": pa.array([name] * len(some), kinds[0]), "bin": some.astype(np.int32), "n": binned[some].astype(np.int64)})
 
     kind = df.select(group.alias("_by")).schema["_by"].dataType.simpleString()
     low, high = F.min("low"), F.max("high")
     half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
     ranges = small_side(
-        dealt.mapInArrow(spans, f"_by {kind}, low double, high double, n long").groupBy("_by")
+        dealt(sent).mapInArrow(spans, f"_by {kind}, low double, high double, n long").groupBy("_by")
         .agg((low - half).alias("_low"), (high + half).alias("_high"), F.sum("n").alias("_total"))
     )
-    binned = dealt.join(ranges.select("_by", "_low", "_high"), "_by").mapInArrow(counts, f"_by {kind}, bin int, n long")
+    binned = dealt(sent.join(ranges.select("_by", "_low", "_high"), "_by")).mapInArrow(counts, f"_by {kind}, bin int, n long")
     return filled_bins(ranges, binned.groupBy("_by", "bin").agg(F.sum("n").alias("n")), bins, by)
 
 

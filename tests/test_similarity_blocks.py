@@ -30,3 +30,19 @@ def test_no_vectors_and_equal_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, embedding array<float>")
     got = V.cosine_histogram(same, "id", bins=2).collect()
     assert sum(x.n for x in got) == 6 and {c for x in got for c in x.asDict()} == {"bin", "lower", "upper", "n", "density"}
+
+
+def test_vectors_move_as_often_as_there_are_blocks_not_tiles(spark, monkeypatch):
+    monkeypatch.setattr(V, "LEAST_BLOCKS", 2)
+    rows = [(i, [float(i % 7) + 1, float(i % 5), 1.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    got = V.cosine_histogram(df, "id", bins=4, block=3)
+    # 67 tiles of a side; the plan of the second pass sends on every vector twice.
+    assert sum(r.n for r in got.collect()) == 199 * 100
+    seen = []
+    monkeypatch.setattr(V, "small_side", lambda x: seen.append(x) or x)
+    V.cosine_histogram(df, "id", bins=4, block=3)
+    assert [r._parts for r in seen[0].collect()] == [2]
+    monkeypatch.setattr(V, "HELD_VALUES", 60)
+    V.cosine_histogram(df, "id", bins=4, block=3)
+    assert [r._parts for r in seen[2].collect()] == [10]
