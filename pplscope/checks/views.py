@@ -18,14 +18,18 @@ def table(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
     return scan_parquet(spark, f"{d}/{name}.parquet", **options)
 
 
-def tasks(spark: SparkSession) -> int:
-    """How many ways the checks deal documents out: one task per core."""
-    return spark.sparkContext.defaultParallelism
+ROWS_PER_TASK = 1 << 12
+
+
+def tasks(spark: SparkSession, d: str) -> int:
+    """How many ways the checks deal documents out: one task per core, more for large tables (the rows are
+    counted from footers)."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, d, "documents").count() // ROWS_PER_TASK))
 
 
 def documents(spark: SparkSession, d: str, **options) -> DataFrame:
     """id, text: dealt over all cores, as the test tables have one row group each."""
-    return table(spark, d, "documents", partitions=tasks(spark), **options).select(F.col("doc_id").alias("id"), "text")
+    return table(spark, d, "documents", partitions=tasks(spark, d), **options).select(F.col("doc_id").alias("id"), "text")
 
 
 def repeated_documents(spark: SparkSession, d: str) -> DataFrame:

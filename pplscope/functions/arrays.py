@@ -16,11 +16,9 @@ def raw_from_json(col: Column) -> Column:
 
 def extract_first_logprob(raw: Column) -> Column:
     """Log-prob of each prompt token: entry 0 never counts, null entries are skipped, and of
-    each map the first value is taken."""
-    later = F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0)))
-    return F.transform(
-        F.filter(later, lambda x: x.isNotNull()), lambda x: F.get(F.map_values(x), F.lit(0))["logprob"]
-    )
+    each map the first value is taken. Refers to `raw` once, so that decoding it there is not repeated."""
+    later = F.filter(raw, lambda x, i: (i > 0) & x.isNotNull())
+    return F.transform(later, lambda x: F.get(F.map_values(x), F.lit(0))["logprob"])
 
 
 def all_tokens(raw: Column) -> Column:
