@@ -28,12 +28,16 @@ def all_tokens(raw: Column) -> Column:
 
 
 def extract_all_logprobs(raw: Column) -> Column:
-    """struct<prompt_logprobs, decoded_tokens> over `all_tokens`."""
-    tokens = all_tokens(raw)
-    return F.struct(
-        F.transform(tokens, lambda t: t["logprob"]).alias("prompt_logprobs"),
-        F.transform(tokens, lambda t: t["decoded_token"]).alias("decoded_tokens"),
-    )
+    """struct<prompt_logprobs, decoded_tokens> over `all_tokens`, which are worked out once for both (and
+    for whoever takes the fields apart)."""
+
+    def both(tokens: Column) -> Column:
+        return F.struct(
+            F.transform(tokens, lambda t: t["logprob"]).alias("prompt_logprobs"),
+            F.transform(tokens, lambda t: t["decoded_token"]).alias("decoded_tokens"),
+        )
+
+    return F.get(F.transform(F.array(all_tokens(raw)), both), F.lit(0))
 
 
 def array_mean(values: Column) -> Column:
