@@ -54,14 +54,25 @@ def overlap_chunks(bases: DataFrame, chunk_overlap: int = 100) -> DataFrame:
     )
 
 
+CHUNKS_TOGETHER = 64
+
+
 def previous_chunk(bases: DataFrame) -> DataFrame:
     """Text of the chunk before, within the document; null for the first.
 
-    An equi-join on (document, chunk number) rather than a window over the document, so that a
-    document with very many chunks is spread over tasks.
+    Chunks meet in runs of consecutive numbers, so that a document with very many chunks is spread over
+    tasks; only the last of a run moves twice, as the one before the next run's first. Where a key
+    repeats, each of its rows is paired with each row of the chunk before.
     """
-    before = bases.select("text_id", (F.col("chunk_id") + 1).alias("chunk_id"), F.col("chunk_text").alias("previous"))
-    return bases.join(before, ["text_id", "chunk_id"], "left")
+    number, run = F.col("chunk_id"), F.floor(F.col("chunk_id") / CHUNKS_TOGETHER).cast("long")
+    last = F.pmod(number, F.lit(CHUNKS_TOGETHER)) == CHUNKS_TOGETHER - 1
+    sent = bases.withColumn("_run", F.explode(F.when(last, F.array(run, run + 1)).otherwise(F.array(run))))
+    before = W.partitionBy("text_id", "_run").orderBy("chunk_id").rangeBetween(-1, -1)
+    keyed = F.col("text_id").isNotNull() & number.isNotNull()
+    # An array of structs, so that a null text counts as a row.
+    found = F.when(keyed, F.collect_list(F.struct(F.col("chunk_text").alias("t"))).over(before))
+    own = sent.withColumn("_before", found).where(number.isNull() | (F.col("_run") == run))
+    return own.select(*bases.columns, F.explode_outer("_before").alias("_b")).select(*bases.columns, F.col("_b.t").alias("previous"))
 
 
 def new_span(chunks: DataFrame) -> DataFrame:

@@ -120,3 +120,14 @@ def test_stitching(spark):
     assert C.stitch_windows(scored, "concat").first().scores == joined[:10]
     with pytest.raises(ValueError):
         C.stitch_windows(scored, "other")
+
+
+def test_chunk_before_where_keys_repeat_or_are_missing(spark):
+    rows = [(1, i, f"c{i}") for i in range(130)] + [(1, 63, "again"), (2, 5, "x"), (2, 7, "y"), (None, 1, "n"), (None, 2, "m"), (3, None, "k")]
+    df = spark.createDataFrame(rows, "text_id long, chunk_id int, chunk_text string").repartition(3)
+    before = df.selectExpr("text_id", "chunk_id + 1 AS chunk_id", "chunk_text AS previous")
+    got, want = C.previous_chunk(df), df.join(before, ["text_id", "chunk_id"], "left")
+    assert got.columns == want.columns
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
