@@ -88,3 +88,9 @@ def test_a_table_too_large_is_refused(spark, monkeypatch):
     monkeypatch.setattr(G, "MAX_ENTRIES", 1)
     with pytest.raises(ValueError, match="entries"):
         G._entries(spark.createDataFrame([("a",), ("b",)], "entry string"))
+
+
+def test_types_are_looked_for_in_distinct_tokens(spark):
+    df = spark.createDataFrame([("A cat sat. A cat ran.",)] * 5, "text string").repartition(2)
+    rows = {(r.base, r.prev): (r.n, r.kind) for r in G.pairs(df, "text").collect()}
+    assert rows["cat", "A"] == (10, "cat") and rows["A", None] == (5, "a") and rows["A", "sat."] == (5, "a") and len(rows) == 5
