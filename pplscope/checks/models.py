@@ -360,8 +360,9 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     FROM s, (VALUES ('first'), ('second')) v(m)""")
 def union_slices(spark: SparkSession, d: str) -> DataFrame:
     """The same chunks scored twice, as if by two models, and put into one table."""
+    chunks = scratch.materialize(V.chunks(spark, d), "chunks")
     parts = [
-        P.results_to_ppl(score_chunks(V.chunks(spark, d), WordLengthScorer).withColumn("model", F.lit(m)))
+        P.results_to_ppl(score_chunks(chunks, WordLengthScorer).withColumn("model", F.lit(m)))
         for m in ("first", "second")
     ]
     return P.align_models(*parts).withColumn("ppl", F.round("ppl", 6))

@@ -117,17 +117,54 @@ def document_windows(
     )
 
 
+WINDOWS_TOGETHER = 64
+
+
 def spread_windows(
     df: DataFrame, ctx: int, stride: int, partitions: int | None = None, id_col: str = "doc_id", tokens_col: str = "tokens"
 ) -> DataFrame:
-    """`document_windows`, dealt out by window: for documents too long for one task.
+    """`document_windows`, dealt out by runs of windows: for documents too long for one task.
 
-    Tokens are cut once into blocks of `stride`, the fresh tokens of a window each; a block goes to its
-    own window and to those behind it that reach back to it. What a task holds of a document is a
-    window. A document without tokens (or with null) gets one window without tokens. Ids are unique.
+    Tokens are cut once into the stretches that `WINDOWS_TOGETHER` windows need: their fresh tokens and
+    the context of the first. Stretches are dealt out, and windows cut from them where they arrive. What a
+    task holds of a document is a stretch. A document without tokens (or with null) gets one window without
+    tokens. Ids are unique; should they not be, windows are gathered block by block from all their rows.
     """
     if not ctx >= stride > 0:
         raise ValueError("need ctx >= stride > 0")
+    if not df.groupBy(id_col).count().where("count > 1").isEmpty():
+        return _gathered_windows(df, ctx, stride, partitions, id_col, tokens_col)
+    back = ctx - stride
+    fresh = WINDOWS_TOGETHER * stride
+    n = F.greatest(F.coalesce(F.size(tokens_col), F.lit(0)), F.lit(0))
+    rows = df.select(id_col, n.alias("n_tokens"), F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias("_tokens"))
+
+    def stretch(s):
+        beg = F.greatest(F.lit(0), s * fresh - back)
+        return F.struct(beg.alias("beg"), F.slice("_tokens", beg + 1, (s + 1) * fresh - beg).alias("tokens"))
+
+    runs = F.sequence(F.lit(0), F.expr(f"greatest(n_tokens - 1, 0) div {fresh}").cast("int"))
+    stretches = rows.select(id_col, "n_tokens", F.posexplode(F.transform(runs, stretch)).alias("_run", "_s"))
+    dealt = stretches.repartition(*([partitions] if partitions else []), id_col, "_run")
+
+    def window(window_id):
+        cur = window_id * stride
+        beg, end = F.greatest(F.lit(0), cur - back), F.least(F.col("n_tokens"), cur + stride)
+        return F.struct(
+            window_id.alias("window_id"), cur.alias("cur"), beg.alias("beg"), end.alias("end"), F.col("n_tokens"),
+            F.slice(F.col("_s.tokens"), beg - F.col("_s.beg") + 1, end - beg).alias("window_tokens"),
+        )
+
+    first = F.col("_run") * WINDOWS_TOGETHER
+    last = F.least(first + WINDOWS_TOGETHER - 1, F.expr(f"greatest(n_tokens - 1, 0) div {stride}").cast("int"))
+    return dealt.select(id_col, F.explode(F.transform(F.sequence(first, last), window)).alias("w")).select(id_col, "w.*")
+
+
+def _gathered_windows(
+    df: DataFrame, ctx: int, stride: int, partitions: int | None, id_col: str, tokens_col: str
+) -> DataFrame:
+    """`spread_windows` by blocks of `stride`, which go to their own window and to those behind it that reach
+    back to them, all rows of an id together."""
     reach = -(-(ctx - stride) // stride)
     n = F.coalesce(F.size(tokens_col), F.lit(0))
     last = F.expr(f"greatest(_n - 1, 0) div {stride}").cast("int")

@@ -8,12 +8,13 @@ from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from pplscope.bounded import lookup_with_hot_keys
-from pplscope.functions.arrays import RAW_TYPE, all_tokens, extract_first_logprob
+from pplscope.functions.arrays import RAW_TYPE, TOKEN
 from pplscope.functions.text import words
 from pplscope.operators.chunking import spread_windows, stitch_windows
 from pplscope.scratch import materialize
@@ -65,12 +66,13 @@ def _raw_array(scored: list[list[TokenScore | None]]) -> pa.Array:
     return pa.ListArray.from_arrays(rows, maps)
 
 
-def score_raw(
-    df: DataFrame, make_scorer: Callable[[], Scorer], keys: list[str], text_col: str, batch_size: int = 1024
+def _score(
+    df: DataFrame, make_scorer: Callable[[], Scorer], keys: list[str], text_col: str, name: str, kind: str,
+    build: Callable[[list[list[TokenScore | None]], pa.RecordBatch], pa.Array], batch_size: int = 1024, carried: Sequence[str] = (),
 ) -> DataFrame:
-    """`keys` and `raw` (one entry per token). Keys stay in the batch their text is scored in,
-    and batches stream through the task; a failed task is simply run again by Spark. Null and empty
-    texts have no tokens and don't reach the scorer."""
+    """`keys` and what `build` makes of the scores (and the `carried` columns) of a batch, as `name`. Keys
+    stay in the batch their text is scored in, and batches stream through the task; a failed task is
+    simply run again by Spark. Null and empty texts have no tokens and don't reach the scorer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
@@ -80,12 +82,41 @@ def score_raw(
                 texts = part.column(text_col).to_pylist()
                 some = iter(scorer.score([t for t in texts if t]) if any(texts) else [])
                 scored = [next(some) if t else [] for t in texts]
-                columns = [part.column(k) for k in keys] + [_raw_array(scored)]
-                yield pa.RecordBatch.from_arrays(columns, [*keys, "raw"])
+                columns = [part.column(k) for k in keys] + [build(scored, part)]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, name])
+
+    built = df.sparkSession.range(0).select(F.lit(None).cast(kind).alias(name)).schema[name].dataType
+    schema = StructType([*df.select(*keys).schema.fields, StructField(name, built)])
+    return df.select(*keys, *carried, text_col).mapInArrow(run, schema)
+
+
+def score_raw(
+    df: DataFrame, make_scorer: Callable[[], Scorer], keys: list[str], text_col: str, batch_size: int = 1024
+) -> DataFrame:
+    """`keys` and `raw` (one entry per token)."""
+    return _score(df, make_scorer, keys, text_col, "raw", RAW_TYPE, lambda scored, _: _raw_array(scored), batch_size)
+
+
+def _lists(scored: list[list[TokenScore]], values: pa.Array) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(tokens) for tokens in scored])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
 
-    raw_type = df.sparkSession.range(0).select(F.lit(None).cast(RAW_TYPE).alias("raw")).schema["raw"].dataType
-    schema = StructType([*df.select(*keys).schema.fields, StructField("raw", raw_type)])
-    return df.select(*keys, text_col).mapInArrow(run, schema)
+
+def _first_logprobs(scored: list[list[TokenScore | None]], _: pa.RecordBatch) -> pa.Array:
+    """What `extract_first_logprob` takes from the raw scores."""
+    given = [[t.logprob for t in tokens[1:] if t is not None] for tokens in scored]
+    return _lists(given, pa.array([x for xs in given for x in xs], pa.float32()))
+
+
+def _given_tokens(scored: list[list[TokenScore | None]], batch: pa.RecordBatch) -> pa.Array:
+    """The scored tokens behind the first `_skip` entries."""
+    skips = batch.column("_skip").to_pylist()
+    given = [[t for t in tokens[skip:] if t is not None] for tokens, skip in zip(scored, skips)]
+    flat = [t for tokens in given for t in tokens]
+    return _lists(given, pa.StructArray.from_arrays(
+        [pa.array([t.logprob for t in flat], pa.float32()), pa.array([t.decoded_token for t in flat], pa.string())],
+        ["logprob", "decoded_token"],
+    ))
 
 
 def score_chunks(
@@ -101,8 +132,7 @@ def score_chunks(
     `partitions` spreads the texts evenly first; leave it out when the input already is.
     """
     source = df.repartition(partitions) if partitions else df
-    raw = score_raw(source, make_scorer, list(keys), text_col, batch_size)
-    return raw.select(*keys, extract_first_logprob(F.col("raw")).alias("logprobs"))
+    return _score(source, make_scorer, list(keys), text_col, "logprobs", "array<float>", _first_logprobs, batch_size)
 
 
 def score_documents(
@@ -117,21 +147,23 @@ def score_documents(
 ) -> DataFrame:
     """`doc_id, prompt_logprobs, decoded_tokens` of whole documents, scored window by window.
 
-    A document's tokens are cut once, in blocks of `stride`, and a window gathers its own blocks and those
-    it reaches back to: `partitions` ways (by default as any shuffle), so a very long document is scored by
-    many tasks and no row holds more than a window. A document without tokens is one empty window. Ids
-    name documents, so they are unique.
+    A document's tokens are dealt out in stretches of some windows, `partitions` ways (by default as any
+    shuffle), so a very long document is scored by many tasks and no row holds more than a stretch. Of a
+    window's scores only the fresh ones leave the scorer's task (with `concat`: all). A document without
+    tokens is one empty window. Ids name documents, so they are unique.
     """
+    if mode not in ("fresh", "concat"):
+        raise ValueError(f"unknown mode {mode!r}")
     tokens = df.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("tokens"))
     windows = spread_windows(tokens, ctx, stride, partitions)
     keys = ["doc_id", "window_id", "cur", "beg", "n_tokens"]
-    texts = windows.select(*keys, F.array_join("window_tokens", " ").alias("prompt"))
-    raw = score_raw(texts, make_scorer, keys, "prompt")
-    # One entry per window token, in place: stitching needs the positions of the unscored ones.
-    entries = F.transform("raw", lambda x: F.when(x.isNotNull(), F.get(F.map_values(x), F.lit(0))))
-    if mode == "concat":
-        entries = all_tokens(F.col("raw"))
-    stitched = stitch_windows(raw.select(*keys, entries.alias("scores")), mode)
+    skip = F.col("cur") - F.col("beg") if mode == "fresh" else F.lit(0)
+    texts = windows.select(
+        "doc_id", "window_id", F.lit(0).alias("cur"), F.lit(0).alias("beg"), "n_tokens", skip.alias("_skip"),
+        F.array_join("window_tokens", " ").alias("prompt"),
+    )
+    scored = _score(texts, make_scorer, keys, "prompt", "scores", f"array<{TOKEN}>", _given_tokens, carried=["_skip"])
+    stitched = stitch_windows(scored, mode)
     return stitched.select(
         "doc_id",
         F.transform("scores", lambda t: t["logprob"]).alias("prompt_logprobs"),
@@ -190,6 +222,83 @@ def bigram_table(train: DataFrame, scored: DataFrame, models: list[str], k: floa
     return materialize(full.select("a", "b", "uses", *logprob), "bigram-logprobs")
 
 
+# Words of texts that are looked up together.
+BLOCK_WORDS = 1 << 20
+
+
+def _pairs_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjacent values of each list and the list they are in."""
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    together = row[:-1] == row[1:]
+    return values[:-1][together], values[1:][together], row[:-1][together]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct pairs, by a and b, and for each pair which of these it is."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _coded_blocks(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """`keys, _block, _t`: the words of each text as codes, texts that lie together in blocks of `BLOCK_WORDS`; written once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("_t")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            starts = total + np.cumsum(sizes) - sizes
+            total += int(sizes.sum())
+            block = (batch.column("_part").to_numpy().astype(np.int64) << 32) + starts // BLOCK_WORDS
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keys], pa.array(block), batch.column("_t")], [*keys, "_block", "_t"])
+
+    coded = texts.select(*keys, F.spark_partition_id().alias("_part"), coded_words(F.col(text_col)).alias("_t"))
+    schema = StructType([*coded.select(*keys).schema.fields, StructField("_block", LongType()), StructField("_t", ArrayType(LongType()))])
+    return materialize(coded.mapInArrow(cut, schema), "coded")
+
+
+def _asked_pairs(coded: DataFrame) -> DataFrame:
+    """`_block, a, b`: the word pairs of each block, once for each batch of its texts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column("_block").to_numpy()
+            for block in np.unique(blocks):
+                a, b, _ = _pairs_of(batch.column("_t").filter(pa.array(blocks == block)))
+                some, _ = _distinct(a, b)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), block)), pa.array(a[some]), pa.array(b[some])], ["_block", "a", "b"])
+
+    return coded.select("_block", "_t").mapInArrow(ask, "_block long, a long, b long")
+
+
+def _answered(
+    coded: DataFrame, asked: DataFrame, table: DataFrame, keys: list[str], names: list[str], kind: str,
+    build: Callable[[np.ndarray, list[np.ndarray]], list[pa.Array]],
+) -> DataFrame:
+    """`keys` and the columns `kind` of every text, which `build` makes of the ends of the texts among all
+    pairs of a block and of the values `names` that `table` has for each. Only distinct pairs of a block move."""
+
+    def meet(texts: pa.Table, found: pa.Table) -> pa.Table:
+        lists = texts.column("_t").combine_chunks()
+        a, b, row = _pairs_of(lists)
+        _, which = _distinct(a, b)
+        some, _ = _distinct(found.column("a").to_numpy(), found.column("b").to_numpy())
+        values = [found.column(name).to_numpy()[some][which] for name in names]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))])
+        return pa.Table.from_arrays([*[texts.column(k) for k in keys], *build(ends, values)], names=schema.names)
+
+    made = coded.sparkSession.createDataFrame([], kind).schema.fields
+    schema = StructType([*coded.select(*keys).schema.fields, *made])
+    answers = asked.join(table.select("a", "b", *names), ["a", "b"])
+    return coded.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(meet, schema)
+
+
 def ngram_scorer(
     train: DataFrame,
     texts: DataFrame,
@@ -201,23 +310,30 @@ def ngram_scorer(
 ) -> DataFrame:
     """`keys, model, logprobs`: every text scored by one add-k bigram model per model name.
 
-    `train` has `model, text`. All models share one pass over the texts: each occurrence of a
-    word pair looks its log-probs up once, with frequent pairs answered by a broadcast of fixed
-    size, and one shuffle on the keys puts the tokens back in order.
+    `train` has `model, text`. All models share one pass over the texts: the distinct word pairs of a block
+    of texts look their log-probs up, and the block's texts take them from there, in order. The tokens
+    of rows that share a key are put together, by position.
     """
     keys = list(keys)
     vocab = vocabulary_size(train) if vocab is None else vocab
-    pairs = bigram_rows(texts, keys, text_col)
-    table = bigram_table(train, pairs, models, k, vocab)
-    looked_up = lookup_with_hot_keys(pairs, table, ["a", "b"], "uses", spread=F.struct(*keys, "pos"))
+    coded = _coded_blocks(texts, keys, text_col)
+    asked = _asked_pairs(coded)
+    table = bigram_table(train, asked, models, k, vocab)
     lps = [f"lp_{j}" for j in range(len(models))]
-    ordered = looked_up.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull() & F.col("a").isNotNull(), F.struct("pos", *lps)))).alias("_t")
-    )
+
+    def lists(ends: np.ndarray, values: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)) for v in values]
+
+    scored = _answered(coded, asked, table, keys, lps, ", ".join(f"{lp} array<double>" for lp in lps), lists)
+    if not coded.groupBy(*keys).count().where("count > 1").isEmpty():
+        places = F.transform("lp_0", lambda x, i: i).alias("pos")
+        tokens = scored.select(*keys, F.arrays_zip(places, *lps).alias("_t"))
+        merged = tokens.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("_t"))).alias("_t"))
+        scored = merged.select(*keys, *[F.col(f"_t.{lp}").alias(lp) for lp in lps])
     per_model = F.array(
-        *[F.struct(F.lit(m).alias("model"), F.col(f"_t.{lp}").alias("logprobs")) for m, lp in zip(models, lps)]
+        *[F.struct(F.lit(m).alias("model"), F.col(lp).alias("logprobs")) for m, lp in zip(models, lps)]
     )
-    return ordered.select(*keys, F.explode(per_model).alias("_m")).select(*keys, "_m.*")
+    return scored.select(*keys, F.explode(per_model).alias("_m")).select(*keys, "_m.*")
 
 
 # Log-probs are summed as whole numbers of 2**-33, so that a sum doesn't depend on the order.
@@ -236,18 +352,24 @@ def ngram_ppl(
     """`keys, model, ppl`: the perplexity of every text under the models of `ngram_scorer`, null for a text
     with nothing scored.
 
-    Word pairs never come together as lists: each occurrence is three numbers until it has met its
-    log-probs, and these are added up per text and model, in the task first. The sums are exact to their
-    scale, so models with equal log-probs tie.
+    Log-probs never come together as lists: the distinct word pairs of a block of texts look them up, and
+    they are added up per text and model where the block is. The sums are exact to their scale, so models
+    with equal log-probs tie.
     """
     keys, size = list(keys), range(len(models))
     vocab = vocabulary_size(train) if vocab is None else vocab
-    pairs = bigram_rows(texts, keys, text_col).drop("pos")
-    table = bigram_table(train, pairs, models, k, vocab)
-    found = lookup_with_hot_keys(pairs, table, ["a", "b"], "uses", spread=F.struct(*keys, "b"))
-    sums = found.groupBy(*keys).agg(
-        F.count("lp_0").alias("n"), *[F.sum(F.round(F.col(f"lp_{j}") * SCALE).cast("long")).alias(f"s_{j}") for j in size]
-    )
+    coded = _coded_blocks(texts, keys, text_col)
+    asked = _asked_pairs(coded)
+    table = bigram_table(train, asked, models, k, vocab)
+    whole = table.select("a", "b", *[F.round(F.col(f"lp_{j}") * SCALE).cast("long").alias(f"s_{j}") for j in size])
+
+    def totals(ends: np.ndarray, values: list[np.ndarray]) -> list[pa.Array]:
+        running = [np.concatenate([[0], np.cumsum(v)]).astype(np.int64)[ends] for v in values]
+        return [pa.array(np.diff(ends).astype(np.int64)), *[pa.array(np.diff(r)) for r in running]]
+
+    names = [f"s_{j}" for j in size]
+    found = _answered(coded, asked, whole, keys, names, ", ".join(f"{c} long" for c in ["n", *names]), totals)
+    sums = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ["n", *names]])
     ppl = [F.when(F.col("n") > 0, F.exp(-F.col(f"s_{j}") / (F.col("n") * F.lit(float(SCALE))))) for j in size]
     per_model = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("ppl")) for m, p in zip(models, ppl)])
     return sums.select(*keys, F.explode(per_model).alias("m")).select(*keys, "m.*")
