@@ -18,7 +18,9 @@ import os
 import struct
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +130,8 @@ class WordEncoder:
     For a vocabulary whose split drops white space, nothing crosses a blank, so a text's ids are
     those of its chunks; a chunk that is letters, as the vocabulary normalises them, and one mark is the
     letters' ids and the mark's. Letters that become something else (a letter and an accent) stay with the mark.
-    Each chunk not yet known goes to the library, all of a slice in one call.
+    Letters not yet known are normalised and one piece, so they go to the library's model alone; any other
+    chunk goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -138,67 +141,79 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.normal, self.letters = self.library.normalizer.normalize_str, {}
-        self.chunks, self.words = Recent(CACHED_CHUNKS), Recent(CACHED_WORDS)
-
-    def is_letter(self, character: str) -> bool:
-        """Does the library keep the character with the letters around it, and apart from a mark behind it?"""
-        if character not in self.letters:
-            cut = self.library.pre_tokenizer.pre_tokenize_str
-            self.letters[character] = len(cut(f"a{character},")) == 2 and len(cut(f"a{character}a")) == 1
-        return self.letters[character]
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.normal, self.letters = self.library.normalizer.normalize_str, Letters(self.library)
+        special = any(token.content.isalpha() for token in self.library.get_added_tokens_decoder().values())
+        plain = not special and all(map(self.letters.__getitem__, ascii_lowercase))
+        self.model = self.library.model if plain else None
+        self.chunks, self.words = Recent(CACHED_CHUNKS, self._chunk), Recent(CACHED_WORDS, self._word)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of normalised letters."""
+        if self.model is None:
+            return self._whole(word)
+        seen = "".join(map(self.letters.__getitem__, word))
+        return array("I", [token.id for token in self.model.tokenize(seen)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        mark = chunk[-1:] if chunk[-1:] in LONE_MARKS else ""
+        word = chunk[:-1] if mark else chunk
+        if word.isascii():
+            known = word.isalpha()
+            word = word.lower()  # the vocabulary's own first step
+        else:
+            word = self.normal(word)
+            known = all(map(self.letters.__getitem__, word))
+        if not known:
+            return self._whole(chunk)
+        return self.words[word] + self.chunks[mark] if mark else self.words[word]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        missing = self.chunks.missing(set().union(*cut))
-        split, whole = [], []
-        for chunk in missing:
-            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in LONE_MARKS else (chunk, "")
-            if word.isalpha() and word.isascii():
-                split.append((chunk, word.lower(), mark))  # the vocabulary's own first step
-            elif word and not word.isascii() and all(map(self.is_letter, normal := self.normal(word))):
-                split.append((chunk, normal, mark))
-            else:
-                whole.append(chunk)
-        parts = set(whole)
-        parts.update(w for _, w, _ in split)
-        parts.update(LONE_MARKS)
-        fresh = self.words.missing(parts)
-        known, words = self.chunks.new, self.words.new
-        words.update(zip(fresh, self._encoded(fresh), strict=True))
-        known.update((c, words[c]) for c in whole)
-        known.update((c, words[w] + words[m] if m else words[w]) for c, w, m in split)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32) for chunks in cut]
-        self.words.rotate()
-        self.chunks.rotate()
+        known = self.chunks.__getitem__
+        out = [np.frombuffer(b"".join(map(known, text.replace("\n", " ").split(" "))), np.uint32) for text in texts]
+        self.words, self.chunks = self.words.rotated(), self.chunks.rotated()
         return out
 
 
-class Recent:
-    """What was met lately, in two generations; long keys are kept for one call only."""
+class Letters(dict):
+    """What the model sees for a character that the library keeps with the letters around it, and apart from
+    a mark behind it; empty for any other."""
+
+    def __init__(self, library):
+        self.cut = library.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, character: str) -> str:
+        inside = self.cut(f"a{character}a")
+        self[character] = inside[0][0][1:-1] if len(self.cut(f"a{character},")) == 2 and len(inside) == 1 else ""
+        return self[character]
+
+
+class Recent(dict):
+    """What was met lately, in two generations, made where it is not known; long keys are kept for one call only."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old, self.long = size, {}, {}, []
+    def __init__(self, size: int, make: Callable[[str], bytes], old: dict[str, bytes] | None = None):
+        self.size, self.make, self.old, self.long = size, make, old or {}, []
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys not known; all others are in `new` from now on."""
-        lacking = keys.difference(self.new)
-        found = [k for k in lacking if k in self.old]
-        self.new.update((k, self.old[k]) for k in found)
-        lacking.difference_update(found)
-        self.long += [k for k in lacking if len(k) > LONG_CHUNK]
-        return list(lacking)
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONG_CHUNK:
+                self.long.append(key)
+        self[key] = value
+        return value
 
-    def rotate(self) -> None:
+    def rotated(self) -> Recent:
         for key in self.long:
-            self.new.pop(key, None)
+            self.pop(key, None)
         self.long = []
-        if len(self.new) >= self.size:
-            self.new, self.old = {}, self.new
+        if len(self) < self.size:
+            return self
+        self.old = {}
+        return Recent(self.size, self.make, self)
 
 
 @lru_cache(maxsize=2)

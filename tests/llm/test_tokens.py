@@ -83,6 +83,21 @@ def test_word_encoder_equals_the_library(monkeypatch):
         assert [x.tolist() for x in own.encode(part)] == want
 
 
+def test_words_of_letters_go_to_the_model_alone(monkeypatch):
+    library, own = Tokenizer.from_file(WORDS), dac.WordEncoder(WORDS)
+    sent, whole = [], own._whole
+    monkeypatch.setattr(own, "_whole", lambda text: sent.append(text) or whole(text))
+    r = random.Random(8)
+    letters = [*"abcdefgzABZéÉñßüÄŉǰİıſſΣσςжЖ한漢字ªºʰ\u0301\u0345\u200d²"]
+    words = ["".join(r.choice(letters) for _ in range(r.choice([1, 2, 5, 12, 300]))) + r.choice(["", ",", "."]) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(w.isascii() and w.isalpha() for w in sent)
+    sent.clear()
+    own.encode(["Straße, café École. señor plain", "x1 $$$ it's"])
+    assert sorted(sent) == ["$$$", "it's", "x1"]
+
+
 def expected(source):
     library, start, out = Tokenizer.from_file(WORDS), 0, []
     for doc_id, text in source:
