@@ -244,6 +244,37 @@ def lasso_path(folds: DataFrame, active: np.ndarray, labels: np.ndarray, alphas:
     return folds.groupBy("outer", "inner").applyInPandas(fit, schema)
 
 
+# Numbers of a table of features by fits that a task works on at a time.
+CELLS = 1 << 19
+
+
+def _worst_features(
+    batches: Iterator[pd.DataFrame], residuals: np.ndarray, bound: np.ndarray, trains: list[np.ndarray], fold_of: np.ndarray
+) -> pd.DataFrame:
+    """The feature that breaks each fit's optimality most. What is kept of a feature is copied, so that a
+    batch is let go when it has been looked through, and the working tables are of one size for any number of fits."""
+    best = np.full(len(bound), 1 + VIOLATION)
+    rows: list[tuple | None] = [None] * len(bound)
+    step = max(1, CELLS // max(1, len(bound)))
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = np.stack(batch["values"].to_numpy())
+        scales = np.stack([_scales(values[:, t].T) for t in trains], axis=1)
+        for at in range(0, len(batch), step):
+            ratio = np.abs(values[at:at + step] @ residuals)
+            scale = scales[at:at + step, fold_of]
+            scale *= bound
+            ratio /= scale
+            top = ratio.argmax(0)
+            found = ratio[top, np.arange(len(bound))]
+            for f in np.flatnonzero(found > best):
+                i = at + int(top[f])
+                best[f], rows[f] = found[f], (*[batch[k].iloc[i] for k in KEYS], values[i].copy())
+    kept = [(f, best[f], *r) for f, r in enumerate(rows) if r is not None]
+    return pd.DataFrame(kept, columns=["fit", "ratio", *KEYS, "values"])
+
+
 def violating_features(features: DataFrame, fits: pd.DataFrame, alphas: np.ndarray, n: int) -> DataFrame:
     """For each fit and alpha, the feature that breaks its optimality most, if any does.
 
@@ -258,21 +289,7 @@ def violating_features(features: DataFrame, fits: pd.DataFrame, alphas: np.ndarr
     trains = [_fold_rows(n, int(o), ALL) for o in folds]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = np.full(len(bound), 1 + VIOLATION)
-        rows: list[tuple | None] = [None] * len(bound)
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at:at + 1000]
-                x = np.stack(part["values"].to_numpy())
-                scale = np.stack([_scales(x[:, t].T) for t in trains], axis=1)
-                ratio = np.abs(x @ residuals) / (scale[:, fold_of] * bound)
-                top = ratio.argmax(0)
-                found = ratio[top, np.arange(len(bound))]
-                for f in np.flatnonzero(found > best):
-                    row = part.iloc[int(top[f])]
-                    best[f], rows[f] = found[f], (*[row[k] for k in KEYS], row["values"])
-        kept = [(f, best[f], *r) for f, r in enumerate(rows) if r is not None]
-        yield pd.DataFrame(kept, columns=["fit", "ratio", *KEYS, "values"])
+        yield _worst_features(batches, residuals, bound, trains, fold_of)
 
     schema = StructType().add("fit", IntegerType()).add("ratio", DoubleType())
     for field in features.select(*KEYS, "values").schema.fields:

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +110,35 @@ def test_active_set_equals_fitting_all_features(spark):
         assert {r.alpha for r in R.nonzero_coefficients(fit).collect()} <= {fit.alpha}
 
 
+@pytest.mark.parametrize("n_fits", [6, 600])
+def test_features_looked_through_are_let_go(monkeypatch, n_fits):
+    monkeypatch.setattr(R, "CELLS", 3000)
+    rng = np.random.default_rng(3)
+    residuals, bound = rng.normal(size=(6, n_fits)), np.full(n_fits, 0.5)
+    trains, fold_of = [np.arange(5), np.arange(1, 6)], np.arange(n_fits) % 2
+    made, alive = [], []
+
+    def batches():
+        for b in range(30):
+            alive.append(sum(ref() is not None for ref in made))
+            # Rows of a list column are views of one array, and later features break optimality more.
+            x = (1 + b) * rng.lognormal(size=(40, 6)) * np.array([1.0, 1.0, 1.0, 1.0, 1.0, 1.0 + b])
+            made.append(weakref.ref(x))
+            seen.append(x.copy())
+            yield pd.DataFrame({"text_id": b, "chunk_id": range(40), "values": list(x)})
+            del x
+
+    seen: list[np.ndarray] = []
+    got = R._worst_features(batches(), residuals, bound, trains, fold_of)
+    assert max(alive) <= 2 and all(v.base is None for v in got["values"])
+    x = np.concatenate(seen)
+    scale = np.stack([R._scales(x[:, t].T) for t in trains], axis=1)
+    ratio = np.abs(x @ residuals) / (scale[:, fold_of] * bound)
+    want = {f: divmod(int(i), 40) for f, i in enumerate(ratio.argmax(0)) if ratio[i, f] > 1 + R.VIOLATION}
+    assert {r.fit: (r.text_id, r.chunk_id) for r in got.itertuples()} == want and want
+    assert all(np.array_equal(v, seen[t][c]) for t, c, v in zip(got["text_id"], got["chunk_id"], got["values"]))
+
+
 def test_metrics(spark):
     y, p = np.array([1.0, 2.0, 4.0]), np.array([1.5, 2.0, 3.0])
     df = spark.createDataFrame([("m", float(a), float(b)) for a, b in zip(y, p)], "model string, label double, prediction double")
