@@ -63,7 +63,7 @@ def bigram_logprobs(spark: SparkSession, d: str) -> DataFrame:
 @check(f"""WITH {V.BIGRAM_LISTS} SELECT text_id, chunk_id, model,
     CASE WHEN n_scored > 0 THEN round(-list_sum(lps) / n_scored, 4) END AS log_ppl FROM bigram_lists""")
 def bigram_ppl(spark: SparkSession, d: str) -> DataFrame:
-    ppl = ngram_ppl(V.training(spark, d), scratch.materialize(V.chunks(spark, d), "chunks"), V.MODELS)
+    ppl = ngram_ppl(V.training(spark, d), scratch.materialize(V.chunks(spark, d), "chunks", "zstd"), V.MODELS)
     return ppl.select(*BY_KEY, "model", F.round(F.ln("ppl"), 4).alias("log_ppl"))
 
 

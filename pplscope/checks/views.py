@@ -60,8 +60,12 @@ def model_of(id_col: str):
 
 
 def training(spark: SparkSession, d: str) -> DataFrame:
-    """model, text: every document trains one of the six models."""
-    return documents(spark, d).select(model_of("id").alias("model"), "text")
+    """model, text: every document trains one of the six models. Counting costs little a row, so rows are dealt
+    out only where the files have fewer tasks than there are cores."""
+    docs = table(spark, d, "documents")
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        docs = table(spark, d, "documents", partitions=tasks(spark, d))
+    return docs.select(model_of("doc_id").alias("model"), "text")
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:

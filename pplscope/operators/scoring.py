@@ -12,9 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from pplscope.bounded import lookup_with_hot_keys
+from pplscope.bounded import lookup_with_hot_keys, small_side
 from pplscope.functions.arrays import RAW_TYPE, TOKEN
 from pplscope.functions.text import words
+from pplscope.operators import bigrams
 from pplscope.operators.chunking import spread_windows, stitch_windows
 from pplscope.scratch import materialize
 
@@ -221,6 +222,15 @@ def bigram_table(train: DataFrame, scored: DataFrame, models: list[str], k: floa
     return materialize(full.select("a", "b", "uses", *logprob), "bigram-logprobs")
 
 
+def _once_and_again(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and the others (None: there are none). Only keys are compared."""
+    repeated = materialize(texts.groupBy(*keys).count().where("count > 1").select(*[F.col(c).alias(f"_{c}") for c in keys]), "repeated")
+    if repeated.isEmpty():
+        return texts, None
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return tuple(texts.join(small_side(repeated), same, how) for how in ("left_anti", "left_semi"))
+
+
 def ngram_scorer(
     train: DataFrame,
     texts: DataFrame,
@@ -232,11 +242,47 @@ def ngram_scorer(
 ) -> DataFrame:
     """`keys, model, logprobs`: every text scored by one add-k bigram model per model name.
 
-    `train` has `model, text`. All models share one pass over the texts: each occurrence of a
-    word pair looks its log-probs up once, with frequent pairs answered by a broadcast of fixed
-    size, and one shuffle on the keys puts the tokens back in order.
+    `train` has `model, text`. All models share one pass over the texts, which look their word pairs up in
+    the model's files (`bigrams`) and stay where they are; rows that share a key are put together, by
+    position. Where the shared folder is not mounted, word pairs meet their log-probs in a shuffle.
     """
-    keys = list(keys)
+    keys, lps = list(keys), [f"lp_{j}" for j in range(len(models))]
+    folder = bigrams.mounted_folder(train.sparkSession)
+    if folder is None:
+        scored = _logprobs_by_shuffle(train, texts, models, k, vocab, keys, text_col)
+    else:
+        model, place = _trained(train, models, folder)
+        vocab = model.words if vocab is None else vocab
+
+        def lists(logs: np.ndarray, which: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+            ends = pa.array(ends.astype(np.int32))
+            return [pa.ListArray.from_arrays(ends, pa.array(logs[which, j], from_pandas=True)) for j in place]
+
+        def looked_up(rows: DataFrame) -> DataFrame:
+            return bigrams.score(rows, model, keys, text_col, k, vocab, ", ".join(f"{lp} array<double>" for lp in lps), lists)
+
+        once, again = _once_and_again(texts, keys)
+        scored = looked_up(once)
+        if again is not None:
+            positions = F.transform("lp_0", lambda x, i: i).alias("pos")
+            tokens = looked_up(again).select(*keys, F.arrays_zip(positions, *lps).alias("_t"))
+            merged = tokens.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("_t"))).alias("_t"))
+            scored = scored.unionByName(merged.select(*keys, *[F.col(f"_t.{lp}").alias(lp) for lp in lps]))
+    per_model = F.array(*[F.struct(F.lit(m).alias("model"), F.col(lp).alias("logprobs")) for m, lp in zip(models, lps)])
+    return scored.select(*keys, F.explode(per_model).alias("_m")).select(*keys, "_m.*")
+
+
+def _trained(train: DataFrame, models: list[str], folder: str) -> tuple[bigrams.Bigrams, list[int]]:
+    """The model of each different name, and where each of `models` is in it."""
+    names = list(dict.fromkeys(models))
+    return bigrams.train(train, names, folder), [names.index(m) for m in models]
+
+
+def _logprobs_by_shuffle(
+    train: DataFrame, texts: DataFrame, models: list[str], k: float, vocab: int | None, keys: list[str], text_col: str
+) -> DataFrame:
+    """`keys, lp_0, lp_1…` as lists: each occurrence of a word pair looks its log-probs up once, with frequent
+    pairs answered by a broadcast of fixed size, and one shuffle on the keys puts the tokens back in order."""
     vocab = vocabulary_size(train) if vocab is None else vocab
     pairs = bigram_rows(texts, keys, text_col)
     table = bigram_table(train, pairs, models, k, vocab)
@@ -245,10 +291,7 @@ def ngram_scorer(
     ordered = looked_up.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull() & F.col("a").isNotNull(), F.struct("pos", *lps)))).alias("_t")
     )
-    per_model = F.array(
-        *[F.struct(F.lit(m).alias("model"), F.col(f"_t.{lp}").alias("logprobs")) for m, lp in zip(models, lps)]
-    )
-    return ordered.select(*keys, F.explode(per_model).alias("_m")).select(*keys, "_m.*")
+    return ordered.select(*keys, *[F.col(f"_t.{lp}").alias(lp) for lp in lps])
 
 
 # Log-probs are summed as whole numbers of 2**-33, so that a sum doesn't depend on the order.
@@ -267,18 +310,46 @@ def ngram_ppl(
     """`keys, model, ppl`: the perplexity of every text under the models of `ngram_scorer`, null for a text
     with nothing scored.
 
-    Word pairs never come together as lists: each occurrence is three numbers until it has met its
-    log-probs, and these are added up per text and model, in the task first. The sums are exact to their
-    scale, so models with equal log-probs tie.
+    Word pairs never come together as lists: their log-probs are added up per text and model in the task
+    that looks them up, and only the sums move. These are exact to their scale, so models with equal
+    log-probs tie.
     """
     keys, size = list(keys), range(len(models))
+    folder = bigrams.mounted_folder(train.sparkSession)
+    if folder is None:
+        found = _sums_by_shuffle(train, texts, models, k, vocab, keys, text_col)
+    else:
+        model, place = _trained(train, models, folder)
+        vocab = model.words if vocab is None else vocab
+
+        def sums(logs: np.ndarray, which: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+            given = ~np.isnan(logs)
+            whole = np.where(given, logs, 0.0) * SCALE
+            whole = np.copysign(np.floor(np.abs(whole) + 0.5), whole).astype(np.int64)
+
+            def total(values: np.ndarray) -> np.ndarray:
+                return np.diff(np.concatenate([[0], np.cumsum(values[which])])[ends])
+
+            n = [total(given[:, j]) for j in range(given.shape[1])]
+            columns = [pa.array(total(whole[:, j]), mask=n[j] == 0) for j in range(len(n))]
+            return [pa.array(n[place[0]]), *[columns[j] for j in place]]
+
+        kind = ", ".join(["n long", *[f"s_{j} long" for j in size]])
+        found = bigrams.score(texts, model, keys, text_col, k, vocab, kind, sums)
+    sums_of_key = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s_{j}" for j in size])])
+    ppl = [F.when(F.col("n") > 0, F.exp(-F.col(f"s_{j}") / (F.col("n") * F.lit(float(SCALE))))) for j in size]
+    per_model = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("ppl")) for m, p in zip(models, ppl)])
+    return sums_of_key.select(*keys, F.explode(per_model).alias("m")).select(*keys, "m.*")
+
+
+def _sums_by_shuffle(
+    train: DataFrame, texts: DataFrame, models: list[str], k: float, vocab: int | None, keys: list[str], text_col: str
+) -> DataFrame:
+    """`keys, n, s_0, s_1…`: each occurrence of a word pair is three numbers until it has met its log-probs,
+    which are added up in the task first."""
     vocab = vocabulary_size(train) if vocab is None else vocab
     pairs = bigram_rows(texts, keys, text_col).drop("pos")
     table = bigram_table(train, pairs, models, k, vocab)
     found = lookup_with_hot_keys(pairs, table, ["a", "b"], "uses", spread=F.struct(*keys, "b"))
-    sums = found.groupBy(*keys).agg(
-        F.count("lp_0").alias("n"), *[F.sum(F.round(F.col(f"lp_{j}") * SCALE).cast("long")).alias(f"s_{j}") for j in size]
-    )
-    ppl = [F.when(F.col("n") > 0, F.exp(-F.col(f"s_{j}") / (F.col("n") * F.lit(float(SCALE))))) for j in size]
-    per_model = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("ppl")) for m, p in zip(models, ppl)])
-    return sums.select(*keys, F.explode(per_model).alias("m")).select(*keys, "m.*")
+    sums = [F.sum(F.round(F.col(f"lp_{j}") * SCALE).cast("long")).alias(f"s_{j}") for j in range(len(models))]
+    return found.groupBy(*keys).agg(F.count("lp_0").alias("n"), *sums)

@@ -38,11 +38,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once and return the written table."""
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write `df` once and return the written table; `codec` is for tables that hold texts, which zstd packs closer."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
