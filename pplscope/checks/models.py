@@ -52,7 +52,7 @@ def all_logprobs(spark: SparkSession, d: str) -> DataFrame:
 @check(f"""WITH {V.BIGRAM_LISTS} SELECT text_id, chunk_id, model, CAST(n_scored AS INTEGER) AS n_scored,
     round(coalesce(list_sum(lps), 0.0), 6) AS total, round(lps[1], 6) AS first_lp, round(lps[-1], 6) AS last_lp FROM bigram_lists""")
 def bigram_logprobs(spark: SparkSession, d: str) -> DataFrame:
-    scored = ngram_scorer(V.training(spark, d), scratch.materialize(V.chunks(spark, d), "chunks"), V.MODELS)
+    scored = ngram_scorer(V.training(spark, d), scratch.materialize(V.chunks(spark, d), "chunks", "zstd"), V.MODELS)
     return scored.select(
         *BY_KEY, "model", F.size("logprobs").alias("n_scored"), _total("logprobs").alias("total"),
         F.round(F.try_element_at("logprobs", F.lit(1)), 6).alias("first_lp"),
