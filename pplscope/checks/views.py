@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pplscope.bounded import small_side
 from pplscope.functions import text as T
 from pplscope.operators import perplexity as P
 from pplscope.operators.chunking import base_chunks
@@ -45,11 +46,16 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return base_chunks(documents(spark, d))
 
 
+# Rows of labels, three numbers each, up to which texts stay where they are when labels are joined.
+LABELS = 1_000_000
+
+
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """model, model_response, is_correct: labelled documents dealt out to six models."""
     docs = table(spark, d, "documents")
     response = F.when(F.col("toxic") == 1, F.lit(None)).when(F.col("lang") == "es", F.lit("  ")).otherwise(F.col("text"))
-    return docs.join(table(spark, d, "labels"), "doc_id").select(
+    labels = small_side(table(spark, d, "labels").select("doc_id", "toxic", "quality"), LABELS)
+    return docs.join(labels, "doc_id").select(
         model_of("doc_id").alias("model"), response.alias("model_response"),
         (F.col("quality") == 1).alias("is_correct"),
     )

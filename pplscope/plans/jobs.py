@@ -116,9 +116,13 @@ def top_quality_chunks(
 ) -> DataFrame:
     """Which chunks track model quality? `documents` (id, text) are chunked, scored by one
     bigram model per name trained on `training` (model, text), and ranked by score against the
-    accuracies in `responses`."""
-    chunks = materialize(chunk_documents(documents, chunk_overlap=0), "chunks")
-    scores = P.gamma(ngram_ppl(training, chunks, models), P.model_accuracy(responses), models)
-    top = S.with_rank(S.top_gamma(scores, n))
+    accuracies in `responses`.
+
+    The accuracies and the selection, a few rows each, are written, as they are read several times and what
+    they are made of is not."""
+    chunks = materialize(chunk_documents(documents, chunk_overlap=0), "chunks", "zstd")
+    accuracy = materialize(P.model_accuracy(responses), "accuracy")
+    scores = P.gamma(ngram_ppl(training, chunks, models), accuracy, models)
+    top = materialize(S.with_rank(S.top_gamma(scores, n)), "top")
     found = S.lookup_texts(top, chunks)
     return found.select("rank", "text_id", "chunk_id", F.round("gamma", 6).alias("gamma"), "chunk_text")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pplscope.operators import bigrams as B, scoring as M
 
@@ -125,3 +126,24 @@ def test_counts_come_back_from_the_arrays(tmp_path, models, inner):
     asked = np.unique(np.append(np.array(list(want), np.uint64), r.integers(0, 1 << inner, 500, dtype=np.uint64)))
     got = B.pair_counts(B.mapped(f"{tmp_path}/a/pairs"), asked, models, inner)
     assert (got == np.array([want.get(key, np.zeros(models)) for key in asked.tolist()])).all()
+
+
+def test_top_chunks_are_scored_and_answers_read_once(spark, monkeypatch):
+    """Accuracies and the selection are read from what was written, whatever is joined or counted then."""
+    from pplscope.plans import jobs
+
+    docs = spark.createDataFrame([(i, f"The cat {i} sat. It ran{' on' * i}.") for i in range(12)], "id long, text string")
+    training = docs.select(F.concat(F.lit("m"), (F.col("id") % 2).cast("string")).alias("model"), "text")
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = [("m0", "x", True), ("m0", "y", True), ("m1", "x", False), ("m1", "y", True)]
+    kind = "model string, model_response string, is_correct boolean"
+    responses = spark.createDataFrame(rows, kind).mapInArrow(seen, kind)
+    got = jobs.top_quality_chunks(docs, responses, training, ["m0", "m1"], 5).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and all(r.chunk_text.startswith("The cat") for r in got)
+    assert reads.value == len(rows)
