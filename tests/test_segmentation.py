@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pplscope.operators import segmentation as G
 from pplscope.operators.chunking import chunk_documents
@@ -94,3 +95,29 @@ def test_types_are_looked_for_in_distinct_tokens(spark):
     df = spark.createDataFrame([("A cat sat. A cat ran.",)] * 5, "text string").repartition(2)
     rows = {(r.base, r.prev): (r.n, r.kind) for r in G.pairs(df, "text").collect()}
     assert rows["cat", "A"] == (10, "cat") and rows["A", None] == (5, "a") and rows["A", "sat."] == (5, "a") and len(rows) == 5
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_a_large_table_cuts_as_a_small_one(spark, model, monkeypatch, most):
+    """With more entries than an expression takes, the sentences are the same."""
+    learned = spark.createDataFrame([(t, 1, "x") for t in corpus()] + [(None, 1, "x"), ("Prof.", 1, "x")], "text string, kind int, base string")
+    texts = [*corpus(9, 20), "On 3. January it was 5. in all. At 7. Then.", "We met Prof. Smith here. The end. J. S. Bach.", "e.g. a. Wait... No.",
+             "a﷑b. ﷐C d! ﷑ e.", "", None, "Prof.", "Prof. The Prof. the Prof. The e.g. The"]
+    rows = [(i // 2 if i % 3 else None, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 3
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    few = G.learn(learned)
+    want = [sorted(map(str, rows.collect())) for rows in (G.split_learned(df, few), G.pack_learned(df, few, 60))]
+    monkeypatch.setattr(G, "MAX_ENTRIES", most)
+    large = G.learn(learned)
+    assert large.abbreviations is None and (large.starters is None) == (most == 0)
+    entries = {(r.what, r.entry) for r in large.table.collect()}
+    kept = dict(zip(G.KINDS, (few.abbreviations, few.starters, few.collocations), strict=True))
+    assert entries == {(k, e) for k in G.KINDS for e in kept[k] if len(kept[k]) > most}
+    got = [sorted(map(str, rows.collect())) for rows in (G.split_learned(df, large), G.pack_learned(df, large, 60))]
+    assert got == want
+    table = spark.createDataFrame([("collocation", "## january"), ("collocation", "j bach")], "what string, entry string")
+    two = G.Segmenter(("prof",), ("the", "bach"), ("## january", "j bach"))
+    apart = G.Segmenter(("prof",), ("the", "bach"), None, table)
+    assert sorted(map(str, G.split_learned(df, apart).collect())) == sorted(map(str, G.split_learned(df, two).collect()))
+    chunks = chunk_documents(df.withColumn("id", F.monotonically_increasing_id()), 60, 10, segmenter=large)
+    assert chunks.count() == chunk_documents(df.withColumn("id", F.monotonically_increasing_id()), 60, 10, segmenter=few).count()
